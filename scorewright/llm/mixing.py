@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def first_words(text: Column, n: Column) -> Column:
     """The beginning of the text up to the end of its n-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}")), 0)
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0), 1, n.cast("int")), "")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:

@@ -106,8 +106,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) THEN 'block' ELS
 WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
 seen AS (SELECT *, replace(text, '\', '\\') AS slashed FROM every),
-sized AS (SELECT *, length(slashed) + len(regexp_extract_all(text, '###+')) * 0
-  + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), x -> length(x) - 2)), 0) + len(regexp_extract_all(text, '</turn>')) AS chars FROM seen)
+sized AS (SELECT *, length(slashed) + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0) + len(regexp_extract_all(text, '</turn>')) AS chars FROM seen)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -32,7 +32,7 @@ SPANS = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
 
 
 def generated_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
-    """(text, is_random): random strings of four alphabets, and identifiers in four styles. The same at every call."""
+    """(text, is_random): random strings of four alphabets, identifiers in four styles, and runs. The same at every call."""
     n = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
@@ -41,7 +41,10 @@ def generated_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
     word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     a, b, c = word(1), word(2), word(3)
     styles = F.array(F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)), F.concat_ws("-", a, b), F.concat(F.initcap(a), F.initcap(b)))
-    return random.unionByName(n.select(F.explode(styles).alias("text"), F.lit(False).alias("is_random")))
+    ordinary = n.select(F.explode(styles).alias("text"), F.lit(False).alias("is_random"))
+    # Rulers, fillers and counting are ordinary too.
+    runs = F.array(*(F.repeat(F.lit(c), F.lit(40)) for c in CHARS), *(F.repeat(F.lit(c), F.lit(10)) for c in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "=-", "-_")))
+    return random.unionByName(ordinary).unionByName(spark.range(5).select(F.explode(runs).alias("text"), F.lit(False).alias("is_random")))
 
 
 def ordinary_words(docs: DataFrame, labels: DataFrame, sample_rows: int = 400) -> DataFrame:
