@@ -1,2 +1,659 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries on the fixture tables, each with independent SQL where SQL can express it.
+
+Fixtures hold no model outputs, so predictions and expectations are derived from their columns in the same way on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import choice, jsons, media, metrics, similarity, text
+from ..operators import aggregates, joins, leaderboard, mapping, ranking, status, structured
+from . import tasks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(x: Column | str, name: str) -> Column:
+    return F.round(text.col(x), 6).alias(name)
+
+
+def long(x: Column, name: str) -> Column:
+    return x.cast("long").alias(name)
+
+
+# Row metrics
+
+
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn with the next one's text as its prediction; every third turn is echoed with blanks around it."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("expected"))
+    following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("expected").alias("next_text"))
+    met = c.join(following, ["conv_id", "turn"])
+    return met.withColumn("prediction", F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  "), F.col("expected"), F.lit(" "))).otherwise(F.col("next_text")))
+
+
+@query("""
+WITH p AS (SELECT c.conv_id, c.turn, c.role, c.text AS expected, CASE WHEN c.turn % 3 = 0 THEN '  ' || c.text || ' ' ELSE n.text END AS prediction
+  FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)
+SELECT role, count(*) AS n, round(avg(CASE WHEN lower(trim(prediction)) = lower(trim(expected)) THEN 1.0 ELSE 0.0 END), 6) AS exact_match,
+  round(avg(CASE WHEN prediction = expected THEN 1.0 ELSE 0.0 END), 6) AS raw_match FROM p GROUP BY role""")
+def exact_match_by_role(spark, d):
+    p = turn_pairs(spark, d)
+    scored = p.withColumns({"em": metrics.exact_match("prediction", "expected"), "raw": metrics.exact_match("prediction", "expected", False, False)})
+    return scored.groupBy("role").agg(F.count("*").alias("n"), r6(metrics.mean_or("em"), "exact_match"), r6(metrics.mean_or("raw"), "raw_match"))
+
+
+def name_pairs(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "part").select("p_partkey", F.col("p_name").alias("expected"))
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("expected").alias("prediction")), "p_partkey")
+
+
+NAMES = "SELECT a.p_partkey, a.p_name AS e, b.p_name AS p FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+
+
+@query(f"""
+WITH n AS ({NAMES}), pt AS (SELECT p_partkey, w, count(*) AS c FROM (SELECT p_partkey, unnest(string_split(lower(p), ' ')) AS w FROM n) GROUP BY ALL),
+et AS (SELECT p_partkey, w, count(*) AS c FROM (SELECT p_partkey, unnest(string_split(lower(e), ' ')) AS w FROM n) GROUP BY ALL),
+o AS (SELECT p_partkey, sum(least(pt.c, et.c)) AS k FROM pt JOIN et USING (p_partkey, w) GROUP BY p_partkey),
+s AS (SELECT p_partkey, coalesce(k, 0) / len(string_split(p, ' ')) AS pr, coalesce(k, 0) / len(string_split(e, ' ')) AS rc FROM n LEFT JOIN o USING (p_partkey))
+SELECT p_partkey, round(CASE WHEN pr + rc > 0 THEN 2.0 * pr * rc / (pr + rc) ELSE 0.0 END, 6) AS f1 FROM s""")
+def token_f1(spark, d):
+    return name_pairs(spark, d).select("p_partkey", r6(metrics.token_f1("prediction", "expected"), "f1"))
+
+
+@query(f"""
+WITH n AS ({NAMES})
+SELECT p_partkey, round(levenshtein(p, e)::DOUBLE / length(e), 6) AS cer,
+  CASE WHEN p = e THEN 0.0 WHEN len(string_split(p, ' ')) = 2 AND len(string_split(e, ' ')) = 2 THEN CASE
+    WHEN string_split(p, ' ')[1] = string_split(e, ' ')[1] OR string_split(p, ' ')[2] = string_split(e, ' ')[2] THEN 0.5 ELSE 1.0 END END AS wer,
+  round(greatest(0.0, 1 - CASE WHEN p = e THEN 0.0 WHEN string_split(p, ' ')[1] = string_split(e, ' ')[1] OR string_split(p, ' ')[2] = string_split(e, ' ')[2] THEN 0.5 ELSE 1.0 END), 4) AS word_accuracy FROM n""")
+def wer_cer(spark, d):
+    wer = metrics.word_error_rate("prediction", "expected")
+    return name_pairs(spark, d).select("p_partkey", r6(metrics.character_error_rate("prediction", "expected"), "cer"), wer.alias("wer"), aggregates.word_accuracy(wer).alias("word_accuracy"))
+
+
+@query()
+def sentence_bleu_chrf(spark, d):
+    return turn_pairs(spark, d).select("conv_id", "turn", r6(metrics.sentence_bleu("prediction", "expected"), "bleu"), r6(metrics.sentence_chrf("prediction", "expected"), "chrf"))
+
+
+@query()
+def corpus_bleu_chrf(spark, d):
+    p = turn_pairs(spark, d)
+    b, c = metrics.corpus_bleu(p, "prediction", "expected", ["role"]), metrics.corpus_chrf(p, "prediction", "expected", ["role"])
+    return b.join(c, "role").select("role", r6("bleu", "bleu"), r6("chrf", "chrf"))
+
+
+@query("""
+SELECT l_returnflag, round(avg(power(l_quantity - l_extendedprice, 2)), 4) AS mse, round(coalesce(corr(l_quantity, l_extendedprice), 0), 6) AS pearson, 0.0 AS flat, count(*) AS total_samples
+FROM lineitem GROUP BY l_returnflag""")
+def mse_pearson(spark, d):
+    li = t(spark, d, "lineitem").withColumn("one", F.lit(1.0))
+    whole = aggregates.regression(li, "l_quantity", "l_extendedprice", ["l_returnflag"])
+    flat = li.groupBy("l_returnflag").agg(metrics.pearson("l_quantity", "one").alias("flat"))
+    return whole.join(flat, "l_returnflag").select("l_returnflag", F.round("mse", 4).alias("mse"), r6("pearson", "pearson"), "flat", "total_samples")
+
+
+# Text functions
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s]+', ' ', 'g'))) AS answer, md5(trim(regexp_replace(strip_accents(lower(text)), '[\s]+', ' ', 'g'))) AS folded,
+  md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS choice FROM documents""")
+def normalize_text(spark, d):
+    x = t(spark, d, "documents")
+    md5 = lambda c, n: F.md5(c.cast("binary")).alias(n)
+    return x.select("doc_id", md5(text.normalize_answer("text"), "answer"), md5(text.normalize_text("text", latin_only=True), "folded"), md5(text.normalize_choice("text", latin_only=True), "choice"))
+
+
+@query("SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
+def accent_fold(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(text.nfkd("text").cast("binary")).alias("folded"))
+
+
+@query(r"""
+SELECT o_orderkey, regexp_replace(replace(replace('Av. ' || o_orderpriority || ' St', 'Av.', 'avenue'), 'St', 'street'), '^.*$', '') || array_to_string(list_sort(string_split(lower('avenue ' || o_orderpriority || ' street'), ' ')), ' ') AS name,
+  regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS digits, CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 3) || '...' ELSE o_orderpriority END AS short, replace(printf('%.1f', o_totalprice), '.', ',') AS comma FROM orders""")
+def text_cleanup(spark, d):
+    o = t(spark, d, "orders")
+    name = text.normalize_freeform(F.concat(F.lit("Av. "), F.col("o_orderpriority"), F.lit(" St")), {"av.": "avenue", "st": "street"}, sort_words=True, latin_only=True)
+    return o.select("o_orderkey", name.alias("name"), text.digits_only("o_orderpriority").alias("digits"), text.shorten("o_orderpriority", 6).alias("short"), text.comma_decimal("o_totalprice").alias("comma"))
+
+
+@query("""
+SELECT event_id, CAST(regexp_extract(props, '([0-9]+)[^0-9]*$', 1) AS DOUBLE) AS number, least(5.0, CAST(regexp_extract(props, '([0-9]+)[^0-9]*$', 1) AS DOUBLE)) AS clipped, -1.0 AS fallback FROM events""")
+def last_number(spark, d):
+    return t(spark, d, "events").select("event_id", text.last_float("props").alias("number"), text.last_float("props", 0, 5).alias("clipped"), text.last_float(F.lit("none"), fallback=-1).alias("fallback"))
+
+
+@query("SELECT o_orderkey, trim(o_orderstatus) AS segment, trim(o_orderpriority) AS plain FROM orders")
+def answer_segment(spark, d):
+    said = F.concat(F.lit("The answer: maybe.\nRespuesta: "), F.col("o_orderpriority"), F.lit("\nfinal label: "), F.col("o_orderstatus"), F.lit(" "))
+    return t(spark, d, "orders").select("o_orderkey", text.answer_segment(said).alias("segment"), text.answer_segment(F.concat(F.lit(" "), F.col("o_orderpriority"))).alias("plain"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'F' THEN 0 END AS verdict FROM orders")
+def yes_no(spark, d):
+    said = F.when(F.col("o_orderstatus") == "O", "assim nao? Sim, nao").when(F.col("o_orderstatus") == "F", "anao").otherwise("talvez")
+    return t(spark, d, "orders").select("o_orderkey", text.yes_no(said, {"sim": 1, "nao": 0}).alias("verdict"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 WHEN '5-LOW' THEN 4 END AS by_text, o_orderkey % 5 AS by_number,
+  ascii(substr('ABCDE', 1 + CAST(o_orderkey % 5 AS INT), 1)) - 65 AS by_letter, 'A. one' || chr(10) || 'B. two' AS listed FROM orders""")
+def choice_parse(spark, d):
+    o = t(spark, d, "orders").withColumns({"choices": F.array(*map(F.lit, ("Urgent", "High", "Medium", "Not specified", "Low"))), "labels": F.array(*map(F.lit, "ABCDE"))})
+    k = F.col("o_orderkey") % 5
+    letter = F.substring(F.lit("ABCDE"), (k + 1).cast("int"), F.lit(1))
+    parse = lambda x: choice.choice_prediction(x, "choices", "labels")
+    return o.select("o_orderkey", parse(F.col("o_orderpriority")).alias("by_text"), long(parse(F.concat(F.lit('{"label": '), k.cast("string"), F.lit("}"))), "by_number"),
+                    parse(F.concat(F.lit("I think.\nAnswer: ("), F.lower(letter), F.lit(")"))).alias("by_letter"), text.format_choices(F.array(F.lit("one"), F.lit("two")), "labels").alias("listed"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, CASE WHEN l_discount >= l_tax THEN 'A' ELSE 'B' END AS choice FROM lineitem")
+def logprob_choice(spark, d):
+    logs = F.create_map(F.lit(" A"), F.col("l_discount"), F.lit("\nB)"), F.col("l_tax"), F.lit("C"), F.lit(float("-inf")))
+    return t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", choice.logprob_choice(logs, ["A", "B", "C"]).alias("choice"))
+
+
+@query(r"""
+SELECT page_id, CAST(coalesce(list_max(list_transform(regexp_extract_all(html, '[ \n\r\t]+'), lambda x: length(x))), 0) AS BIGINT) AS run, regexp_matches(html, '(?i)<(table|tr|td|th|html|body|div|span)\b') AS markup FROM pages""")
+def whitespace_markup(spark, d):
+    return t(spark, d, "pages").select("page_id", long(text.whitespace_run("html"), "run"), text.looks_like_markup("html").alias("markup"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, text, string_split(trim(regexp_replace(text, '[\s]+', ' ', 'g')), ' ') AS ws FROM documents),
+k AS (SELECT doc_id, CASE WHEN text = '' THEN 'not_applicable' WHEN regexp_matches(text, '(?i)<(table|tr|td|th|html|body|div|span)\b') THEN 'ocr_text_or_markup'
+  WHEN regexp_matches(text, '[\s]{80,}') OR (len(ws) >= 18 AND len(list_filter(range(1, len(ws) - 14), lambda i: (ws[i] = ws[i+1] AND ws[i] = ws[i+2]) OR len(list_filter(ws[i:i+14], lambda x: x = ws[i])) >= 6)) > 0) THEN 'degenerate_repetition'
+  ELSE 'plain_text' END AS diagnostic_class FROM w)
+SELECT diagnostic_class, count(*) AS count, sum(count(*)) OVER ()::BIGINT AS run_samples, round(count(*) / sum(count(*)) OVER (), 6) AS rate FROM k GROUP BY diagnostic_class""")
+def diagnostic_classes(spark, d):
+    x = t(spark, d, "documents").withColumn("diagnostic_class", status.generic_class("text"))
+    return aggregates.class_rates(x).select("diagnostic_class", "count", "run_samples", r6("rate", "rate"))
+
+
+@query("""
+SELECT c_custkey, 'Q: ' || c_name || ' {x} in ' || c_mktsegment AS prompt, left(c_name, 5) AS head, split_part('org/' || c_name, '/', 2) AS model, 'org' AS publisher, 'es.' || replace(c_mktsegment || '-a-b', '-', '_') AS task_key FROM customer""")
+def projections(spark, d):
+    c = t(spark, d, "customer")
+    model = F.concat(F.lit("org/"), F.col("c_name"))
+    return c.select("c_custkey", text.fill_template("Q: {name} {{x}} in {seg}", name="c_name", seg="c_mktsegment").alias("prompt"), text.truncate("c_name", 5).alias("head"), leaderboard.short_name(model).alias("model"),
+                    leaderboard.publisher(model).alias("publisher"), joins.canonical_key(F.concat(F.lit("es."), F.col("c_mktsegment"), F.lit("-a-b"))).alias("task_key"))
+
+
+# Likeness
+
+_COMPOSITE = """
+SELECT p_partkey, p, e, len(list_intersect(list_distinct(string_split(p, ' ')), list_distinct(string_split(e, ' '))))::DOUBLE AS k, len(list_distinct(string_split(p, ' '))) AS np, len(list_distinct(string_split(e, ' '))) AS ne,
+  1 - levenshtein(p, e)::DOUBLE / greatest(length(p), length(e)) AS lev, CASE WHEN contains(p, e) THEN 1.0 WHEN contains(e, p) THEN length(p)::DOUBLE / length(e) ELSE 0.0 END AS cont FROM n"""
+_SCORED = f"WITH n AS ({NAMES}), c AS ({_COMPOSITE}), s AS (SELECT *, CASE WHEN k > 0 THEN 2.0 * k / (np + ne) ELSE 0.0 END AS tf FROM c), z AS (SELECT *, CASE WHEN p = e THEN 1.0::DOUBLE ELSE 0.5::DOUBLE * tf + 0.3::DOUBLE * lev + 0.2::DOUBLE * cont END AS score FROM s)"
+
+
+@query(f"""{_SCORED}
+SELECT p_partkey, round(tf, 6) AS token_f1, round(lev, 6) AS edit, round(cont, 6) AS containment, round(score, 6) AS score, CASE WHEN p = e OR score >= 0.95 THEN 'exact' WHEN score >= 0.5 THEN 'partial' ELSE 'incorrect' END AS match_type FROM z""")
+def composite_string_match(spark, d):
+    c = similarity.compare_strings("prediction", "expected")
+    return name_pairs(spark, d).select("p_partkey", r6(similarity.token_set_f1("prediction", "expected"), "token_f1"), r6(similarity.edit_similarity("prediction", "expected"), "edit"),
+                                       r6(similarity.containment("prediction", "expected"), "containment"), r6(c.score, "score"), c.match_type.alias("match_type"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN abs(round(o_totalprice, 0) - o_totalprice) <= 1e-6 + 1e-3 * abs(o_totalprice) THEN 'exact' ELSE 'incorrect' END AS usual,
+  CASE WHEN abs(round(o_totalprice, 0) - o_totalprice) <= 1e-9 + 1e-4 * abs(o_totalprice) THEN 'exact' ELSE 'incorrect' END AS strict FROM orders""")
+def numeric_match(spark, d):
+    o = t(spark, d, "orders").withColumn("p", F.round("o_totalprice", 0))
+    return o.select("o_orderkey", similarity.compare_numbers("p", "o_totalprice").match_type.alias("usual"), similarity.compare_numbers("p", "o_totalprice", similarity.STRICT).match_type.alias("strict"))
+
+
+@query("""
+WITH a AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS e, list_distinct(list(o_orderpriority) FILTER (o_orderstatus = 'O')) AS p FROM orders GROUP BY o_custkey),
+s AS (SELECT o_custkey, len(list_intersect(coalesce(p, []), e))::DOUBLE / len(list_distinct(list_concat(coalesce(p, []), e))) AS score FROM a)
+SELECT o_custkey, round(score, 6) AS score, CASE WHEN score = 1 THEN 'exact' WHEN score >= 0.5 THEN 'partial' ELSE 'incorrect' END AS match_type FROM s""")
+def array_jaccard(spark, d):
+    a = t(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("e"), F.collect_set(F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority"))).alias("p"))
+    c = similarity.compare_arrays("p", "e")
+    return a.select("o_custkey", r6(c.score, "score"), c.match_type.alias("match_type"))
+
+
+# JSON, dates, hashes
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.absent') AS absent, true AS ok, '{"a": ' || (event_id % 7) || '}' AS candidate, left(sha1(props), 12) AS fingerprint, md5(props) AS hash FROM events""")
+def json_functions(spark, d):
+    e = t(spark, d, "events")
+    wrapped = F.concat(F.when(F.col("event_id") % 2 == 0, "```json\n").otherwise("so "), F.lit('{"a": '), (F.col("event_id") % 7).cast("string"), F.lit("}"), F.when(F.col("event_id") % 2 == 0, "\n``` ok").otherwise(" then"))
+    return e.select("event_id", jsons.json_path("props", "k").alias("k"), jsons.json_path("props", "absent").alias("absent"), jsons.json_ok("props").alias("ok"), jsons.json_candidate(wrapped).alias("candidate"),
+                    F.left(F.sha1("props"), F.lit(12)).alias("fingerprint"), F.md5("props").alias("hash"))
+
+
+@query("""
+SELECT c_custkey, 'name' AS field, c_name AS value, 'string' AS kind FROM customer UNION ALL SELECT c_custkey, 'where.nation', CAST(c_nationkey AS VARCHAR), 'number' FROM customer
+UNION ALL SELECT c_custkey, 'tags[0]', c_mktsegment, 'string' FROM customer UNION ALL SELECT c_custkey, 'tags[1]', NULL, 'null' FROM customer UNION ALL SELECT c_custkey, 'rows[0].ok', 'true', 'boolean' FROM customer""")
+def json_flatten(spark, d):
+    c = t(spark, d, "customer")
+    body = F.format_string('{"name": "%s", "where": {"nation": %d, "none": {}}, "tags": ["%s", null], "rows": [{"ok": true}], "empty": []}', "c_name", "c_nationkey", "c_mktsegment")
+    return structured.flattened(c.select("c_custkey", body.alias("body")), "c_custkey", "body").select(F.col("sample_id").alias("c_custkey"), "field", "value", "kind")
+
+
+@query("""
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dashed, strftime(o_orderdate, '%Y-%m-%d') AS slashed, '31-02-2020' AS no_day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' AS at, '25:00' AS no_time FROM orders""")
+def date_canonicalize(spark, d):
+    o = t(spark, d, "orders")
+    f = lambda p: jsons.iso_date(F.date_format("o_orderdate", p))
+    return o.select("o_orderkey", f("dd-MM-yyyy").alias("dashed"), f("dd/MM/yyyy").alias("slashed"), jsons.iso_date(F.lit("31-02-2020")).alias("no_day"),
+                    jsons.padded_time(F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":05"))).alias("at"), jsons.padded_time(F.lit("25:00")).alias("no_time"))
+
+
+_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 3}}}
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INT) >= 3, false) AS valid, true AS open, false AS closed FROM events")
+def json_validate(spark, d):
+    return t(spark, d, "events").select("event_id", jsons.validate_json(_SCHEMA)("props").alias("valid"), jsons.validate_json({})("props").alias("open"), jsons.validate_json({}, False)("props").alias("closed"))
+
+
+# Mapping
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS text, CASE WHEN c_custkey % 4 = 0 THEN '{"who":{}}' ELSE '{"who":{"segment":"' || c_mktsegment || '"}}' END AS stub,
+  '{"who":{' || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '"segment":"' || c_mktsegment || '",' END || '"nation":' || c_nationkey || '}}' AS expected FROM customer WHERE c_custkey % 5 <> 0""")
+def ground_truth(spark, d):
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_name")).alias("name"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("gt_segment"), F.col("c_nationkey").cast("double").alias("gt_nation"))
+    stub = mapping.ground_truth(c, {"gt_segment": "who.segment"})
+    fields = mapping.FieldMap(id="key", text="name", ground_truth={"gt_segment": "who.segment", "gt_nation": "who.nation"}, types={"who.nation": "integer"})
+    return mapping.normalize_samples(c.withColumn("stub", stub), fields).select("id", "text", "stub", "expected")
+
+
+@query("SELECT quality AS expected, count(*) AS n, min(doc_id) AS first_doc FROM labels JOIN documents USING (doc_id) GROUP BY quality")
+def label_lookup(spark, d):
+    met = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id"), "doc_id")
+    return mapping.labelled_choices(met, "quality", {"0": "No", "1": "Yes"}).groupBy("expected").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT printf('sample_%06d', row_number() OVER (ORDER BY o_orderkey) - 1) AS id, o_orderpriority AS text, o_orderstatus AS expected FROM orders")
+def generated_ids(spark, d):
+    o = mapping.numbered(t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderkey"])
+    return mapping.normalize_samples(o, mapping.FieldMap(text="o_orderpriority", expected="o_orderstatus")).select("id", "text", "expected")
+
+
+@query("""
+SELECT c_custkey, CAST(coalesce(list_position(['AUTOMOBILE', 'BUILDING', 'MACHINERY'], c_mktsegment), 1) - 1 AS INT) AS answer, lower(left(c_name, 1)) || substr(c_name, 2) || '' AS small FROM customer""")
+def exam_answers(spark, d):
+    labels = F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "MACHINERY")))
+    return t(spark, d, "customer").select("c_custkey", text.answer_key_index(F.lower("c_mktsegment"), labels, 0).alias("answer"), text.lower_first("c_name").alias("small"))
+
+
+# Joins and alignment
+
+
+@query("""
+WITH x AS (SELECT c_custkey // 2 AS id, CASE WHEN c_custkey % 2 = 0 THEN 'es' ELSE 'pt' END AS lang, c_name FROM customer)
+SELECT a.id, a.c_name AS source_text, b.c_name AS target_text, a.lang || '_' || b.lang AS direction, 'es_pt' AS language_pair FROM x a JOIN x b ON a.id = b.id AND a.lang <> b.lang""")
+def bidirectional_pairs(spark, d):
+    x = t(spark, d, "customer").select(F.floor(F.col("c_custkey") / 2).cast("long").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "es").otherwise("pt").alias("lang"), F.col("c_name").alias("text"))
+    return joins.paired_languages(x, [("es", "pt")]).select("id", "source_text", "target_text", "direction", "language_pair")
+
+
+def customer_fields(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Expected fields of customers, and predictions that lack, alter or add some."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"))
+    kind = F.when(F.col("field") == "nation", "number").otherwise("string")
+    full = lambda x: x.unpivot("sample_id", ["name", "segment", "nation"], "field", "value").select("sample_id", "field", "value", kind.alias("kind"), kind.alias("type"))
+    k = F.col("sample_id")
+    p = full(c).filter(~((k % 7 == 0) & (F.col("field") == "segment")))
+    p = p.withColumn("value", F.when((k % 5 == 0) & (F.col("field") == "nation"), F.lit("99")).when((k % 3 == 0) & (F.col("field") == "name"), F.lower("value")).otherwise(F.col("value")))
+    extra = c.filter(k % 11 == 0).select("sample_id", F.lit("extra").alias("field"), F.lit("x").alias("value"), F.lit("string").alias("kind"), F.lit("string").alias("type"))
+    return p.unionByName(extra), full(c)
+
+
+_FIELDS = """
+WITH f AS (SELECT c_custkey AS k, unnest(['name', 'segment', 'nation', 'extra']) AS field FROM customer),
+m AS (SELECT k, field, CASE WHEN field = 'extra' THEN 'spurious' WHEN field = 'segment' AND k % 7 = 0 THEN 'missed' WHEN field = 'nation' AND k % 5 = 0 THEN 'incorrect' ELSE 'exact' END AS match_type
+  FROM f WHERE field <> 'extra' OR k % 11 = 0)"""
+
+
+@query(_FIELDS + " SELECT k AS sample_id, field, match_type, CASE WHEN match_type = 'exact' THEN 'none' ELSE 'critical' END AS severity, match_type IN ('exact', 'incorrect') AS type_match, field = 'nation' AS is_numeric FROM m")
+def field_compare(spark, d):
+    return structured.compare_fields(*customer_fields(spark, d), latin_only=True).select("sample_id", "field", "match_type", "severity", "type_match", "is_numeric")
+
+
+@query(_FIELDS + """, c AS (SELECT k, count(*) FILTER (match_type = 'exact') AS ex, count(*) FILTER (match_type <> 'spurious') AS ne, count(*) FILTER (match_type <> 'missed') AS np, count(*) FILTER (match_type = 'spurious') AS sp,
+  count(*) FILTER (match_type <> 'exact') AS crit, count(*) FILTER (match_type = 'exact' AND field = 'nation') AS num FROM m GROUP BY k)
+SELECT k AS sample_id, round(2.0 * ex / (ne + np), 6) AS f1, round(sp / np, 6) AS hallucination_rate, round(crit / ne, 6) AS critical_error_rate, num::DOUBLE AS numeric_precision_rate,
+  round(0.15::DOUBLE + 0.70::DOUBLE * (2.0 * ex / (ne + np)) + 0.15::DOUBLE * (1 - sp / np), 5) AS eqs, round(0.50::DOUBLE * num + 0.35::DOUBLE * (2.0 * ex / (ne + np)) + 0.15::DOUBLE, 5) AS des FROM c""")
+def sample_rollup(spark, d):
+    rolled = structured.sample_rollup(structured.compare_fields(*customer_fields(spark, d), latin_only=True)).withColumn("schema_validity", F.lit(1.0))
+    return rolled.select("sample_id", r6("field_f1_partial", "f1"), r6("hallucination_rate", "hallucination_rate"), r6("critical_error_rate", "critical_error_rate"), "numeric_precision_rate", F.round(structured.quality_score(), 5).alias("eqs"), F.round(structured.document_score(), 5).alias("des"))
+
+
+@query(_FIELDS + """ SELECT field, count(*) FILTER (match_type <> 'spurious') AS expected_count, count(*) FILTER (match_type = 'exact') AS exact_count, count(*) FILTER (match_type = 'missed') AS missed_count, count(*) FILTER (match_type = 'spurious') AS spurious_count,
+  round(coalesce(count(*) FILTER (match_type = 'exact') / nullif(count(*) FILTER (match_type <> 'spurious'), 0), 0), 6) AS exact_accuracy, round(coalesce(count(*) FILTER (match_type IN ('missed', 'incorrect')) / nullif(count(*) FILTER (match_type <> 'spurious'), 0), 0), 6) AS error_rate,
+  min(k) FILTER (match_type <> 'exact') AS first_error FROM m GROUP BY field""")
+def field_diagnostics(spark, d):
+    out = structured.field_diagnostics(structured.compare_fields(*customer_fields(spark, d), latin_only=True))
+    return out.select("field", "expected_count", "exact_count", "missed_count", "spurious_count", r6("exact_accuracy", "exact_accuracy"), r6("error_rate", "error_rate"), F.col("examples")[0].sample_id.alias("first_error"))
+
+
+@query()
+def structured_pipeline(spark, d):
+    """From JSON texts to sample scores: normalize, align, validate, flatten, compare, roll up."""
+    c = t(spark, d, "customer")
+    body = lambda *a: F.to_json(F.struct(*a))
+    k = F.col("c_custkey")
+    rows = c.select(
+        k.alias("id"), body(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.lit("2024-01-15").alias("day")).alias("expected"),
+        F.when(k % 9 == 0, "no json").when(k % 4 == 0, body(F.lower("c_name").alias("name"), F.lit("null").alias("nation"))).otherwise(body(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.lit("15-01-2024").alias("day"))).alias("prediction"),
+    )
+    schema = {"type": "object", "properties": {"name": {"type": "string"}, "nation": {"type": ["integer", "null"]}, "day": {"type": "string", "format": "date"}}, "required": ["name"]}
+    samples, _ = structured.score_samples(rows, schema)
+    return samples.select("sample_id", "valid", "exact_match", "null_words", r6("field_f1_partial", "f1"), r6("extraction_quality_score", "eqs"), r6("document_extraction_score", "des"))
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, l_returnflag AS key, l_linenumber, l_partkey, l_suppkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n,
+  count(*) OVER (PARTITION BY l_orderkey, l_returnflag) AS m FROM lineitem)
+SELECT l_orderkey, key, count(*) AS items, max(n) AS most, sum(CASE WHEN n <= (m + 1) // 2 THEN 1 ELSE 0 END)::BIGINT AS matched FROM e GROUP BY l_orderkey, key""")
+def unordered_align(spark, d):
+    """Predicted: all lines of an order, backwards; expected: the first half of each flag's lines. Equal flags meet in order."""
+    from pyspark.sql.window import Window
+
+    li = t(spark, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("key"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    w = Window.partitionBy("l_orderkey", "key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = li.withColumns({"n": F.row_number().over(w), "m": F.count("*").over(Window.partitionBy("l_orderkey", "key"))})
+    expected = li.filter(F.col("n") <= F.floor((F.col("m") + 1) / 2)).select("l_orderkey", "key", F.col("n").alias("at"))
+    predicted = li.select("l_orderkey", "key", (-F.col("n")).alias("at"))
+    met = joins.align_unordered(predicted, expected, ["l_orderkey"], "key", "at")
+    return met.groupBy("l_orderkey", "key").agg(F.count("*").alias("items"), F.max("occurrence").cast("long").alias("most"), F.count("e_order").alias("matched"))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def resume_anti_join(spark, d):
+    done = t(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return joins.not_done(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), done, "o_orderkey")
+
+
+@query("""
+WITH base AS (SELECT 'g.task-' || n_nationkey AS task, n_name AS v, 0 AS layer FROM nation UNION ALL SELECT 'g.task_' || n_nationkey, 'disk', 1 FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'g.new-' || r_regionkey, r_name, 2 FROM region)
+SELECT task, v FROM (SELECT *, row_number() OVER (PARTITION BY replace(task, '-', '_') ORDER BY layer DESC) AS r FROM base) WHERE r = 1""")
+def overlay_merge(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("task")
+    old = n.select(key("g.task-", "n_nationkey"), F.col("n_name").alias("v"))
+    disk = n.filter("n_nationkey % 2 = 0").select(key("g.task_", "n_nationkey"), F.lit("disk").alias("v"))
+    return joins.overlay(old, disk, r.select(key("g.new-", "r_regionkey"), F.col("r_name").alias("v")), key="task")
+
+
+@query("SELECT 'g.t-' || n_nationkey AS task, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS v FROM nation")
+def attach_diagnostics(spark, d):
+    n = t(spark, d, "nation")
+    found = n.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("g.t_"), F.col("n_nationkey").cast("string")).alias("task"), F.col("n_name").alias("v"))
+    return joins.attach(n.select(F.concat(F.lit("g.t-"), F.col("n_nationkey").cast("string")).alias("task")), found)
+
+
+@query("SELECT l, count(*) AS n FROM (SELECT unnest(list_distinct([n_name, r_name])) AS l FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY l")
+def language_bridge(spark, d):
+    met = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joins.bridge(met, "n_name", "r_name", name="l").groupBy("l").agg(F.count("*").alias("n"))
+
+
+# Aggregates
+
+
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events")
+    return e.select("event_id", "user_id", "value", (F.col("user_id") % 10).alias("g"), (F.col("event_type") != "error").alias("valid"), (F.col("event_type") == "purchase").alias("correct"), "event_type", "ts")
+
+
+@query("""
+SELECT user_id % 10 AS g, count(*) AS total_samples, count(*) FILTER (event_type <> 'error') AS valid_samples, count(*) FILTER (event_type = 'purchase') AS correct,
+  round(count(*) FILTER (event_type = 'purchase') / count(*) FILTER (event_type <> 'error'), 6) AS accuracy, count(*) FILTER (event_type = 'error') AS error_count, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_rate FROM events GROUP BY g""")
+def mc_accuracy(spark, d):
+    out = aggregates.choice_accuracy(outcomes(spark, d), ["g"])
+    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "error_rate")})
+
+
+@query("""
+SELECT user_id % 10 AS g, count(*) AS total_samples, count(*) FILTER (event_type <> 'error') AS valid_samples, round(avg(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END) FILTER (event_type <> 'error'), 6) AS zeroed,
+  round(avg(CASE WHEN event_id % 3 <> 0 THEN value END) FILTER (event_type <> 'error'), 6) AS skipped FROM events GROUP BY g""")
+def means_over_valid(spark, d):
+    e = outcomes(spark, d).withColumn("m", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    a, b = aggregates.means_over_valid(e, ["m"], ["g"]), aggregates.means_over_valid(e, ["m"], ["g"], missing_is_zero=False)
+    return a.select("g", "total_samples", "valid_samples", r6("m", "zeroed")).join(b.select("g", r6("m", "skipped")), "g")
+
+
+@query("""
+SELECT lang AS locale, grouping(lang) = 1 AS is_total, count(*) AS sample_count, count(*) FILTER (doc_id % 4 <> 0) AS valid_samples, round(count(*) FILTER (doc_id % 4 = 0) / count(*), 4) AS error_rate,
+  round(avg(n_chars::DOUBLE) FILTER (doc_id % 4 <> 0), 6) AS wer FROM documents GROUP BY GROUPING SETS ((), (lang))""")
+def grouped_locale_rollup(spark, d):
+    x = t(spark, d, "documents").select(F.col("lang").alias("locale"), (F.col("doc_id") % 4 != 0).alias("valid"), F.col("n_chars").cast("double").alias("wer"))
+    return aggregates.transcription(x, metrics=("wer",)).withColumn("wer", F.round("wer", 6))
+
+
+@query("""
+WITH c AS (SELECT n_name AS way, r_name AS pair, c_mktsegment AS a, substr(c_mktsegment, 1, 1) AS b, avg(c_acctbal) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+p AS (SELECT pair, avg(m) AS m FROM c GROUP BY pair), l AS (SELECT unnest(list_distinct([a, b])) AS lang, m FROM c)
+SELECT level, name, round(m, 6) AS m FROM (SELECT 'pair' AS level, pair AS name, m FROM p UNION ALL SELECT 'overall', 'all', avg(m) FROM p UNION ALL SELECT 'language', lang, avg(m) FROM l GROUP BY lang)""")
+def hierarchical_mean(spark, d):
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    c = c.select(F.col("n_name").alias("direction"), F.col("r_name").alias("language_pair"), F.col("c_mktsegment").alias("source_language"), F.substring("c_mktsegment", 1, 1).alias("target_language"), F.col("c_acctbal").alias("m"))
+    return aggregates.translation_hierarchy(c, ["m"]).filter("level <> 'direction'").select("level", "name", r6("m", "m"))
+
+
+def nation_metrics(spark: SparkSession, d: str) -> DataFrame:
+    c = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("total_samples"), F.count_if(F.col("c_acctbal") > 0).alias("valid_samples"), F.avg("c_acctbal").alias("mse"))
+    return c.join(t(spark, d, "nation"), "n_nationkey").withColumn("accuracy", F.when(F.col("n_nationkey") % 3 == 0, F.col("valid_samples") / F.col("total_samples")))
+
+
+_NATIONS = """
+WITH c AS (SELECT c_nationkey, n_regionkey, n_name, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS v, avg(c_acctbal) AS mse FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+x AS (SELECT *, CASE WHEN c_nationkey % 3 = 0 THEN v / n END AS accuracy FROM c)"""
+
+
+@query(_NATIONS + """ SELECT n_regionkey, sum(n)::BIGINT AS total_samples, sum(v)::BIGINT AS valid_samples, round(sum(accuracy * v) / nullif(sum(CASE WHEN accuracy IS NOT NULL THEN v END), 0), 6) AS accuracy, round(sum(mse * v) / nullif(sum(v), 0), 6) AS mse,
+  round(sum(coalesce(accuracy, mse) * v) / nullif(sum(v), 0), 6) AS overall_score FROM x GROUP BY n_regionkey""")
+def weighted_rollup(spark, d):
+    x = nation_metrics(spark, d)
+    a = aggregates.sample_weighted(x, ["accuracy", "mse"], ["n_regionkey"])
+    b = aggregates.overall_score(x, ["accuracy", "mse"], ["n_regionkey"]).select("n_regionkey", "overall_score")
+    return a.join(b, "n_regionkey").withColumns({c: F.round(c, 6) for c in ("accuracy", "mse", "overall_score")})
+
+
+@query(_NATIONS + " SELECT n_name, CASE WHEN accuracy IS NOT NULL THEN 'accuracy' ELSE 'mse' END AS metric, round(coalesce(accuracy, mse), 6) AS value FROM x")
+def primary_metric(spark, d):
+    name, value = aggregates.primary_metric({"accuracy": "accuracy", "mse": "mse"})
+    return nation_metrics(spark, d).select("n_name", name.alias("metric"), r6(value, "value"))
+
+
+@query(f"""{_SCORED}, m AS (SELECT CASE WHEN p = e OR score >= 0.95 THEN 'exact' WHEN score >= 0.5 THEN 'partial' ELSE 'incorrect' END AS match_type, score FROM z)
+SELECT match_type, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent, round(avg(score) FILTER (score > 0), 6) AS mean, round(median(score) FILTER (score > 0), 6) AS median, round(coalesce(stddev_samp(score) FILTER (score > 0), 0), 6) AS stdev FROM m GROUP BY match_type""")
+def match_distribution(spark, d):
+    c = similarity.compare_strings("prediction", "expected")
+    m = name_pairs(spark, d).select(c.match_type.alias("match_type"), c.score.alias("score"))
+    stats = structured.composite_stats(m, ["match_type"]).select("match_type", r6("mean", "mean"), r6("median", "median"), r6("stdev", "stdev"))
+    return structured.match_distribution(m).withColumn("percent", F.round("percent", 6)).join(stats, "match_type")
+
+
+@query("""
+WITH c AS (SELECT l_linenumber AS g, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F')::DOUBLE AS tp, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F')::DOUBLE AS fp, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F')::DOUBLE AS fn, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'F')::DOUBLE AS tn FROM lineitem GROUP BY g)
+SELECT g, round(tp / (tp + fp + fn), 6) AS iou, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round((fp + fn) / (tp + fp + fn + tn), 6) AS mae FROM c""")
+def mask_metrics(spark, d):
+    p, e = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
+    c = t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("g")).agg(F.count_if(p & e).alias("tp"), F.count_if(p & ~e).alias("fp"), F.count_if(~p & e).alias("fn"), F.count_if(~p & ~e).alias("tn"))
+    return c.select("g", *(r6(v, k) for k, v in media.mask_scores("tp", "fp", "fn", "tn").items()))
+
+
+# Ranking
+
+
+@query("""
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS a, quantile_cont(o_totalprice, 0.5) AS b, quantile_cont(o_totalprice, 0.75) AS c FROM orders)
+SELECT o_orderkey, CASE WHEN o_totalprice <= a THEN 'q1_lowest' WHEN o_totalprice <= b THEN 'q2_lower_mid' WHEN o_totalprice <= c THEN 'q3_upper_mid' ELSE 'q4_highest' END AS bucket FROM orders, q""")
+def quartile_buckets(spark, d):
+    return ranking.with_buckets(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "bucket")
+
+
+@query("""
+SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 6) AS q1, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.75), 6) AS q3, min(o_totalprice) AS min, max(o_totalprice) AS max, count(*) AS n FROM orders GROUP BY o_orderstatus""")
+def quartiles(spark, d):
+    out = ranking.quartiles(t(spark, d, "orders"), "o_totalprice", ["o_orderstatus"])
+    return out.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query("""
+SELECT * FROM (SELECT o_orderkey, o_totalprice, 'lowest' AS side, row_number() OVER (ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR)) AS place FROM orders UNION ALL
+  SELECT o_orderkey, o_totalprice, 'highest', row_number() OVER (ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) FROM orders) WHERE place <= 10""")
+def top_bottom(spark, d):
+    out = ranking.extremes(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("""
+SELECT event_id, row_number() OVER (ORDER BY round(value), CAST(event_id AS VARCHAR)) AS rank_asc, row_number() OVER (ORDER BY round(value) DESC, CAST(event_id AS VARCHAR)) AS rank_desc,
+  round((row_number() OVER (ORDER BY round(value), CAST(event_id AS VARCHAR)) - 1) / (count(*) OVER () - 1), 6) AS percentile FROM events""")
+def rank_percentile(spark, d):
+    out = ranking.ranked(t(spark, d, "events").select("event_id", F.round("value").alias("v")), "v", "event_id")
+    return out.select("event_id", "rank_asc", "rank_desc", r6("percentile", "percentile"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_wins(spark, d):
+    return ranking.latest(t(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN r <= n // 4 THEN 1 WHEN r <= n // 2 THEN 2 WHEN r <= 3 * n // 4 THEN 3 ELSE 4 END AS part FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r, count(*) OVER () AS n FROM orders)""")
+def equal_count_split(spark, d):
+    return ranking.equal_split(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "part")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def distinct_in_order(spark, d):
+    return ranking.distinct_in_order(t(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25")
+def first_samples(spark, d):
+    return mapping.limited(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 25, "o_orderkey")
+
+
+# Status rules
+
+_STATUS = """
+WITH u AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e FROM events GROUP BY user_id),
+s AS (SELECT user_id, user_id % 10 AS g, CASE WHEN user_id % 13 = 0 THEN 'no_samples' WHEN user_id % 17 = 0 THEN 'failed' WHEN e > 0 THEN 'degraded' ELSE 'passed' END AS status,
+  CASE WHEN user_id % 13 = 0 THEN 'no_samples' WHEN user_id % 17 = 0 THEN 'no_valid_samples' WHEN e > 0 THEN 'partial_errors' END AS reason FROM u)"""
+
+
+def user_status(spark: SparkSession, d: str) -> DataFrame:
+    u = t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    total = F.when(F.col("user_id") % 13 == 0, 0).otherwise(F.col("n"))
+    bad = F.when(F.col("user_id") % 13 == 0, 0).when(F.col("user_id") % 17 == 0, F.col("n")).otherwise(F.col("e"))
+    return status.with_status(u.select("user_id", (F.col("user_id") % 10).alias("g"), total.alias("total_samples"), bad.alias("error_count")))
+
+
+@query(_STATUS + " SELECT user_id, status, reason FROM s")
+def status_rules(spark, d):
+    return user_status(spark, d).select("user_id", "status", "reason")
+
+
+@query(_STATUS + """ SELECT g, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'no_samples') THEN 'no_samples' WHEN bool_or(status = 'degraded') THEN 'degraded' ELSE 'passed' END AS status,
+  CASE WHEN bool_or(status IN ('failed', 'no_samples')) THEN 1 ELSE 0 END AS smoke, CASE WHEN bool_or(status <> 'passed') THEN 1 ELSE 0 END AS strict, 0 AS relaxed, CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status <> 'passed') THEN 'degraded' ELSE 'passed' END AS run_status,
+  count(*) AS requested, count(*) FILTER (status = 'passed') AS passed FROM s GROUP BY g""")
+def task_and_run_status(spark, d):
+    s = user_status(spark, d)
+    out = status.task_status(s, ["g"]).drop("reason")
+    for policy in ("smoke", "strict", "relaxed"):
+        out = out.join(status.exit_code(s, policy, ["g"]).withColumnRenamed("exit_code", policy), "g")
+    return out.join(status.run_status(s, ["g"]), "g").join(aggregates.status_counts(s, by=["g"]).select("g", "requested", "passed"), "g")
+
+
+@query("""
+SELECT n_name AS subtask, CASE WHEN n_nationkey % 5 = 0 THEN 'skipped' WHEN n_nationkey % 2 = 0 THEN 'degraded' ELSE 'passed' END AS status, CASE WHEN n_nationkey % 5 = 0 THEN 'incompatible' WHEN n_nationkey % 2 = 0 THEN 'partial_errors' END AS reason FROM nation""")
+def skipped_subtasks(spark, d):
+    n = t(spark, d, "nation")
+    m = n.select(F.col("n_name").alias("subtask"), F.lit(10).alias("total_samples"), F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(0).alias("error_count"))
+    skips = n.filter("n_nationkey % 5 = 0").select(F.col("n_name").alias("subtask"), F.lit(None).cast("string").alias("reason"))
+    return status.subtask_statuses(m, skips).select("subtask", "status", "reason")
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'server_error' ELSE 'other' END AS issue, event_type IN ('error', 'view', 'click') AS transient,
+  CASE WHEN event_type = 'error' THEN least(120.0, 5 * power(3, event_id % 4)) ELSE least(16.0, power(2, event_id % 4)) END AS wait FROM events""")
+def error_issues(spark, d):
+    e = t(spark, d, "events")
+    said = F.when(F.col("event_type") == "error", "HTTP 429 slow down").when(F.col("event_type") == "view", "Request timed out").when(F.col("event_type") == "click", "503 from upstream").otherwise("odd")
+    return e.select("event_id", status.issue(said).alias("issue"), status.is_transient(said).alias("transient"), status.wait_seconds(said, F.col("event_id") % 4).alias("wait"))
+
+
+# Leaderboards
+
+
+def market_scores(spark: SparkSession, d: str) -> DataFrame:
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.groupBy(F.col("c_mktsegment").alias("model"), F.lit("es").alias("category"), F.lower("o_orderstatus").alias("task")).agg(F.round(F.avg("o_totalprice"), 4).alias("score"))
+
+
+_MARKET = "WITH s AS (SELECT c_mktsegment AS model, lower(o_orderstatus) AS task, round(avg(o_totalprice), 4) AS score FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+@query(_MARKET + " SELECT model, max(score) FILTER (task = 'f') AS es_f, max(score) FILTER (task = 'o') AS es_o, max(score) FILTER (task = 'p') AS es_p, round(avg(score), 4) AS overall_score, max(score) FILTER (task = 'f') AS sub_f FROM s GROUP BY model")
+def wide_leaderboard(spark, d):
+    table = leaderboard.wide(market_scores(spark, d), ["es_f", "es_o", "es_p"])
+    return leaderboard.with_subcategories(leaderboard.overall(table, ["es_f", "es_o", "es_p"]), {"es_f": "sub_f"})
+
+
+@query(_MARKET + " SELECT model, 'es_' || task AS column, score FROM s")
+def unpivot_scores(spark, d):
+    return leaderboard.unpivoted(leaderboard.wide(market_scores(spark, d), ["es_f", "es_o", "es_p"]))
+
+
+@query(_MARKET + " SELECT model, count(*) AS tasks, round(min(score), 4) AS lowest FROM s GROUP BY model")
+def score_breakdown(spark, d):
+    b = leaderboard.breakdown(market_scores(spark, d))
+    inner = F.element_at("categories", "es")
+    return b.select("model", long(F.size(inner), "tasks"), F.array_min(F.map_values(inner)).alias("lowest"))
+
+
+@query(_NATIONS + " SELECT CAST(n_regionkey AS VARCHAR) AS model, n_name AS task, CASE WHEN accuracy IS NOT NULL THEN 'acc' ELSE 'mse' END AS metric, round(coalesce(accuracy, mse) / 100, 6) AS score FROM x")
+def processor_scores(spark, d):
+    rows = nation_metrics(spark, d).select(F.col("n_regionkey").cast("string").alias("model"), F.lit("es").alias("category"), F.col("n_name").alias("task"), "accuracy", "mse")
+    return leaderboard.task_scores(rows, [leaderboard.Category("es", "es", divide_by=100.0)], ["accuracy", "mse"]).select("model", "task", "metric", r6("score", "score"))
+
+
+# Tasks from samples to aggregates
+
+
+@query("""
+SELECT count(*) AS total_samples, count(*) FILTER (o_orderkey % 9 <> 0) AS valid_samples, count(*) FILTER (o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0) AS correct, round(count(*) FILTER (o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0) / count(*) FILTER (o_orderkey % 9 <> 0), 6) AS accuracy,
+  count(*) FILTER (o_orderkey % 9 = 0) AS error_count, round(count(*) FILTER (o_orderkey % 9 = 0) / count(*), 6) AS error_rate FROM orders""")
+def classification_task(spark, d):
+    """Samples meet a table of predictions; every fourth one is wrong, every ninth sample has none."""
+    o = t(spark, d, "orders")
+    samples = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderstatus").alias("expected"))
+    right = F.array_position(F.array(*map(F.lit, "FOP")), F.col("o_orderstatus")) - 1
+    said = F.when(F.col("o_orderkey") % 4 == 0, (right + 1) % 3).otherwise(right).cast("string")
+    predictions = o.filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"label": '), said, F.lit("}")).alias("prediction"))
+    found = tasks.evaluate(tasks.classification("status", {"F": "filled", "O": "open", "P": "partial"}), samples, tasks.from_table(predictions)).metrics
+    return found.withColumns({c: F.round(c, 6) for c in ("accuracy", "error_rate")})
