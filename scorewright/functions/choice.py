@@ -47,12 +47,14 @@ def _index(text: Column, said: Column, choices: Column, labels: Column, mapped:
 
 def unwrapped(prediction: Column | str) -> Column:
     """The answer inside a JSON object (by key, else its only value) or a list of one; other texts as they are."""
-    text = strip(prediction)
+
+    def inner(text: Column, fields: Column, items: Column) -> Column:
+        keyed = F.coalesce(*(F.try_element_at(fields, F.lit(k)) for k in ANSWER_KEYS), F.when(F.size(fields) == 1, F.try_element_at(F.map_values(fields), F.lit(1))))
+        listed = F.when(F.size(items) == 1, F.try_element_at(items, F.lit(1)))
+        return F.when(text.rlike(r"(?s)^\{.*\}$") & fields.isNotNull(), keyed).when(text.rlike(r"(?s)^\[.*\]$") & items.isNotNull(), listed).otherwise(text)
+
     # Values as JSON texts: a string value keeps no quotes.
-    fields, items = F.from_json(text, "map<string,string>"), F.from_json(text, "array<string>")
-    keyed = F.coalesce(*(F.try_element_at(fields, F.lit(k)) for k in ANSWER_KEYS), F.when(F.size(fields) == 1, F.try_element_at(F.map_values(fields), F.lit(1))))
-    listed = F.when(F.size(items) == 1, F.try_element_at(items, F.lit(1)))
-    return F.when(text.rlike(r"(?s)^\{.*\}$") & fields.isNotNull(), keyed).when(text.rlike(r"(?s)^\[.*\]$") & items.isNotNull(), listed).otherwise(text)
+    return let(lambda text: let(inner, text, F.from_json(text, "map<string,string>"), F.from_json(text, "array<string>")), strip(prediction))
 
 
 def choice_prediction(prediction: Column | str, choices: Column | str, labels: Column | str, label_to_index: Column | str | None = None, strict: bool = True, depth: int = 2, markers: tuple[str, ...] = ANSWER_MARKERS) -> Column:
@@ -60,7 +62,8 @@ def choice_prediction(prediction: Column | str, choices: Column | str, labels: C
     answer = col(prediction).cast("string")
     for _ in range(depth):
         answer = unwrapped(answer)
-    return choice_index(answer_segment(answer, markers), choices, labels, label_to_index, strict)
+    mapped = F.lit(None).cast("map<string,int>") if label_to_index is None else col(label_to_index)
+    return let(lambda text, choices, labels, mapped: choice_index(text, choices, labels, mapped, strict), answer_segment(answer, markers), col(choices), col(labels), mapped)
 
 
 def logprob_choice(logprobs: Column | str, labels: list[str]) -> Column:

@@ -54,7 +54,7 @@ def token_f1_best(p: Column | str, references: Column | str) -> Column:
 def word_edits(p: Column | str, e: Column | str) -> tuple[Column, Column]:
     """Edits between word sequences, and reference words: each distinct word of the pair becomes one private character, so `levenshtein` counts words."""
     # From U+10000 on, past the surrogates: UTF-32 of the word's number.
-    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32BE")
+    letter = lambda known, w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "UTF-32")
     coded = lambda known, xs: F.array_join(F.transform(xs, lambda w: letter(known, w)), "")
     words = lambda x: F.filter(F.split(collapse(x), " "), lambda w: w != "")
     edits = let(lambda a, b: let(lambda known: F.levenshtein(coded(known, a), coded(known, b)), F.array_distinct(F.concat(a, b))), words(p), words(e))

@@ -145,12 +145,14 @@ def last_position(x: Column, marker: str) -> Column:
 
 def answer_segment(x: Column | str, markers: tuple[str, ...] = ANSWER_MARKERS) -> Column:
     """What follows the first colon after the last marker; the stripped text if there is no marker."""
-    x = col(x)
-    low = F.lower(x)
-    at = F.greatest(*(last_position(low, m) for m in markers)) if len(markers) > 1 else last_position(low, markers[0])
-    rest = F.substring(x, at, F.char_length(x))
-    colon = F.locate(":", rest)
-    return strip(F.when(at == 0, x).when(colon > 0, F.substring(rest, colon + 1, F.char_length(rest))).otherwise(rest))
+
+    def after(x: Column, at: Column) -> Column:
+        rest = F.substring(x, at, F.char_length(x))
+        colon = F.locate(":", rest)
+        return strip(F.when(at == 0, x).when(colon > 0, F.substring(rest, colon + 1, F.char_length(rest))).otherwise(rest))
+
+    places = lambda x, low: let(after, x, F.greatest(*(last_position(low, m) for m in markers)) if len(markers) > 1 else last_position(low, markers[0]))
+    return let(places, col(x), F.lower(col(x)))
 
 
 def yes_no(x: Column | str, words: dict[str, int]) -> Column:

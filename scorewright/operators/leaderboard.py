@@ -97,7 +97,7 @@ def unpivoted(table: DataFrame, key: str = "model") -> DataFrame:
 def breakdown(scores: DataFrame) -> DataFrame:
     """One row a model: a map from category to a map from task to score. As large as the model's tasks."""
     inner = scores.groupBy("model", "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "score")))).alias("tasks"))
-    return inner.groupBy("model").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "tasks")))).alias("categories"))
+    return inner.groupBy("model").agg(F.map_from_entries(F.collect_list(F.struct("category", "tasks"))).alias("categories"))
 
 
 def merge_models(published: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:

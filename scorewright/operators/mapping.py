@@ -34,11 +34,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "row_idx") ->
     rows as there are partitions.
     """
     order = [col(o) for o in order]
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    counts = inside.groupBy("_part").agg(F.count("*").alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    return inside.join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_at") - 1).cast("long")).drop("_part", "_at", "_start")
+    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    inside = parts.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    counts = inside.groupBy("__part").agg(F.count("*").alias("__n"))
+    starts = counts.withColumn("__start", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    return inside.join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__inside") - 1).cast("long")).drop("__part", "__inside", "__start")
 
 
 def _typed(value: Column, kind: str) -> Column:

@@ -5,9 +5,11 @@ Field results are a long table (sample_id, field, ...), so a sample with very ma
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,10 +144,6 @@ def document_score(rules: StructuredRules = StructuredRules()) -> Column:
 
 def _prepare(schema: dict, rules: StructuredRules):
     """An Arrow UDF of (predicted, expected) JSON texts: normalized and aligned texts, validity, exactness, changes."""
-    import json
-
-    import pandas as pd
-
     schema = jsons.unwrap_schema(schema or {})
     blank = not schema.get("properties")
 
@@ -162,7 +160,7 @@ def _prepare(schema: dict, rules: StructuredRules):
             return {k: align(v, e[k], f"{path}.{k}" if path else k) if k in e else v for k, v in p.items()}
         return p
 
-    @F.pandas_udf("struct<predicted:string,expected:string,valid:boolean,exact:boolean,null_words:int>")
+    @F.pandas_udf("predicted string, expected string, valid boolean, exact boolean, null_words int")
     def run(p: pd.Series, e: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(p, e, strict=True):

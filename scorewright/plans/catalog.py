@@ -132,11 +132,11 @@ def accent_fold(spark, d):
 
 @query(r"""
 SELECT o_orderkey, regexp_replace(replace(replace('Av. ' || o_orderpriority || ' St', 'Av.', 'avenue'), 'St', 'street'), '^.*$', '') || array_to_string(list_sort(string_split(lower('avenue ' || o_orderpriority || ' street'), ' ')), ' ') AS name,
-  regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS digits, CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 3) || '...' ELSE o_orderpriority END AS short, replace(printf('%.1f', o_totalprice), '.', ',') AS comma FROM orders""")
+  regexp_replace(o_orderpriority, '[^0-9]', '', 'g') AS digits, CASE WHEN length(o_orderpriority) > 6 THEN left(o_orderpriority, 3) || '...' ELSE o_orderpriority END AS short, replace(printf('%.2f', o_totalprice), '.', ',') AS comma FROM orders""")
 def text_cleanup(spark, d):
     o = t(spark, d, "orders")
     name = text.normalize_freeform(F.concat(F.lit("Av. "), F.col("o_orderpriority"), F.lit(" St")), {"av.": "avenue", "st": "street"}, sort_words=True, latin_only=True)
-    return o.select("o_orderkey", name.alias("name"), text.digits_only("o_orderpriority").alias("digits"), text.shorten("o_orderpriority", 6).alias("short"), text.comma_decimal("o_totalprice").alias("comma"))
+    return o.select("o_orderkey", name.alias("name"), text.digits_only("o_orderpriority").alias("digits"), text.shorten("o_orderpriority", 6).alias("short"), text.comma_decimal("o_totalprice", 2).alias("comma"))
 
 
 @query("""
@@ -153,7 +153,7 @@ def answer_segment(spark, d):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1 WHEN o_orderstatus = 'F' THEN 0 END AS verdict FROM orders")
 def yes_no(spark, d):
-    said = F.when(F.col("o_orderstatus") == "O", "assim nao? Sim, nao").when(F.col("o_orderstatus") == "F", "anao").otherwise("talvez")
+    said = F.when(F.col("o_orderstatus") == "O", "assim? Sim, nao").when(F.col("o_orderstatus") == "F", "anao").otherwise("talvez")
     return t(spark, d, "orders").select("o_orderkey", text.yes_no(said, {"sim": 1, "nao": 0}).alias("verdict"))
 
 
