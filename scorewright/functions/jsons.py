@@ -48,6 +48,51 @@ def json_path(x: Column | str, path: str) -> Column:
     return F.get_json_object(col(x), f"${steps}")
 
 
+def json_text(x: Column | str) -> Column:
+    """A value of any type as JSON text; null is `null`."""
+    whole = F.to_json(F.struct(col(x).alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, 6, F.char_length(whole) - 6)
+
+
+_PLACE = re.compile(r"\{\{\s*(\w+)\s*(?:\|\s*(\w+)\s*)?\}\}")
+
+
+def render_body(template: Any, **fields: Column | str) -> Column:
+    """JSON text of a template whose strings hold `{{name}}`, `{{name|json}}`, `{{name|str}}` or `{{name|base64}}`.
+
+    A string that is one placeholder keeps the value's own type; inside other text, values are text. Unknown names raise.
+    """
+
+    def value(name: str, how: str | None, alone: bool) -> Column:
+        if name not in fields:
+            raise KeyError(name)
+        x = col(fields[name])
+        if how == "json":
+            return json_text(x)
+        if how == "base64":
+            return F.base64(x.cast("binary"))
+        return x if alone and how is None else F.coalesce(x.cast("string"), F.lit(""))
+
+    def text_of(node: str) -> Column:
+        if m := _PLACE.fullmatch(node):
+            return json_text(value(m[1], m[2], True))
+        parts, at = [], 0
+        for m in _PLACE.finditer(node):
+            parts += [F.lit(node[at : m.start()]), value(m[1], m[2], False)]
+            at = m.end()
+        return json_text(F.concat(*parts, F.lit(node[at:]))) if parts else F.lit(json.dumps(node, ensure_ascii=False))
+
+    def build(node: Any) -> Column:
+        if isinstance(node, dict):
+            inner = [F.concat(F.lit(json.dumps(str(k), ensure_ascii=False) + ":"), build(v)) for k, v in node.items()]
+            return F.concat(F.lit("{"), F.concat_ws(",", *inner), F.lit("}"))
+        if isinstance(node, list):
+            return F.concat(F.lit("["), F.concat_ws(",", *map(build, node)), F.lit("]"))
+        return text_of(node) if isinstance(node, str) else F.lit(json.dumps(node))
+
+    return build(template)
+
+
 def iso_date(x: Column | str) -> Column:
     """dd-MM-yyyy and dd/MM/yyyy as ISO; anything else, or no such day, as it is."""
     x = col(x)

@@ -124,6 +124,14 @@ def test_json_functions(spark):
     assert plain["required"] == ["a"] and columns == {"col_a": "a"} and types == {"a": "integer"}
 
 
+def test_request_bodies(spark):
+    template = {"q": "say {{t}}!", "n": "{{n}}", "raw": "{{t|str}}", "j": "{{t|json}}", "b": "{{t|base64}}", "l": [1, None, "{{z}}"]}
+    body = one(spark, jsons.render_body(template, t=L('a"b'), n=L(3), z=L(None).cast("string")))[0]
+    assert json.loads(body) == {"q": 'say a"b!', "n": 3, "raw": 'a"b', "j": '"a\\"b"', "b": "YSJi", "l": [1, None, None]}
+    with pytest.raises(KeyError):
+        jsons.render_body("{{absent}}")
+
+
 @pytest.mark.parametrize(
     ("value", "schema", "ok"),
     [

@@ -227,3 +227,14 @@ def test_streaming(spark, tmp_path):
     assert {r.id: r.exact_match for r in got.collect()} == {"1": 1.0, "2": 0.0} and got.count() == 2
     assert scoring.windowed_means(got, ["f1"]).count() == 2
     assert set(REGISTRY) >= {"exact_match", "f1", "wer", "cer", "bleu", "chrf", "mse"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scorewright.__main__ import main
+
+    d = str(tmp_path)
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "q", "expected": "x"}\n')
+    spark.createDataFrame([("1", "x")], "id string, prediction string").write.parquet(f"{d}/p")
+    main(["eval", "--kind", "freeform", "--data", f"{d}/a.jsonl", "--predictions", f"{d}/p", "--out", f"{d}/o"])
+    main(["kinds"])
+    assert spark.read.json(f"{d}/o/metrics").first().exact_match == 1.0 and "freeform" in capsys.readouterr().out
