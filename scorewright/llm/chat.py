@@ -9,17 +9,19 @@ A turn is `### role: text</turn>` and a line feed. Inside roles and texts, a bac
 `#` of `###` is `\h`, and the `<` of `</turn>` is `\l` (in roles also `\c` for a colon and `\n` for a line feed), so no
 control string survives in them and reading back is exact. The loss mask lists the spans of assistant texts.
 
-Defined results: null texts and roles are empty; a message whose parent is absent is a root; messages of equal turn are ordered by
+Defined results: null texts and roles are empty; a message whose parent is absent is a root; a null conversation is one of its own; messages of equal turn are ordered by
 role, then text; a table without rows gives none; a cycle of parents has no root and raises; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import forget, written
+from ._store import written
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
 ASSISTANT = "assistant"
@@ -44,16 +46,24 @@ def escape_role(role: Column) -> Column:
 
 
 def _doubled(nodes: DataFrame, most_rounds: int) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, id, up): the ancestor 1, 2, 4, ... steps up; and (tree, id, depth, total) of all nodes, total from the root on."""
-    now = written(nodes.select("tree", "id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total")), "reach")
-    tables = []
+    """Tables (tree, id, up): the ancestor 1, 2, 4, ... steps up; and (tree, id, depth, total) of all nodes, total from the root on.
+
+    A tree leaves the rounds when all its nodes have met the root, so one deep tree does not carry the others along.
+    """
+    now = nodes.select("tree", "id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("score").alias("total"))
+    tables, met = [], []
     for _ in range(most_rounds):
-        if now.filter("up is not null").isEmpty():
-            return tables, now
-        tables.append(now)
-        above = now.select("tree", F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("depth").alias("more"), F.col("total").alias("sum"))
+        now = written(now, "reach")
+        open_trees = now.groupBy(F.col("tree").alias("open_tree")).agg(F.bool_or(F.col("up").isNotNull()).alias("open"))
+        marked = written(now.join(open_trees, F.col("tree").eqNullSafe(F.col("open_tree"))).select("tree", "id", "up", "depth", "total", "open"), "reach")
+        met.append(marked.filter("not open").select("tree", "id", "depth", "total"))
+        live = marked.filter("open").drop("open")
+        if live.isEmpty():
+            return tables, reduce(DataFrame.unionByName, met)
+        tables.append(live)
+        above = live.select("tree", F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("depth").alias("more"), F.col("total").alias("sum"))
         # A null never joins, so nodes that have met their root keep what they have.
-        now = written(now.join(above, ["tree", "up"], "left").select("tree", "id", F.col("next_up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total")), "reach")
+        now = live.join(above, ["tree", "up"], "left").select("tree", "id", F.col("next_up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"))
     raise ValueError("a message is its own ancestor")
 
 
@@ -71,8 +81,6 @@ def choose_paths(nodes: DataFrame, branches: int = 1, most_rounds: int = 40) ->
         step = tables[k].filter("up is not null").select("tree", "id", "up")
         paths = paths.unionByName(paths.join(step, ["tree", "id"]).select("tree", "branch", (F.col("depth") - F.lit(1 << k)).alias("depth"), F.col("up").alias("id")))
         paths = written(paths, "paths")
-    for t in tables:
-        forget(t)
     return paths
 
 
@@ -83,8 +91,11 @@ def _turn(x: Column) -> Column:
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages (tree, id, parent, role, text, score) -> (tree, branch, formatted, loss_mask): loss_mask has start and end of each assistant text, in code points.
 
-    A conversation becomes one value, so it has to fit into a row; conversations never share a task's memory otherwise.
+    A conversation becomes one value, so it has to fit into a row; conversations never share a task's memory otherwise. Messages of
+    a null tree are one tree.
     """
+    kind = dict(messages.dtypes)["tree"]
+    messages = messages.withColumn("tree", F.coalesce(F.concat(F.lit("v"), F.col("tree").cast("string")), F.lit("n")))
     paths = choose_paths(messages.select("tree", "id", "parent", "score"), branches)
     texts = messages.select("tree", "id", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.coalesce("role", F.lit("")) == ASSISTANT).alias("learn"))
     whole = paths.join(texts, ["tree", "id"]).groupBy("tree", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text", "learn"))).alias("turns"))
@@ -98,7 +109,8 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
             F.when(x.learn, F.concat(acc.spans, F.array(F.struct((acc.at + size(x) - len(CLOSE) - F.char_length(x.text)).alias("start"), (acc.at + size(x) - len(CLOSE)).alias("end"))))).otherwise(acc.spans).alias("spans"),
         ),
     )
-    return whole.select("tree", "branch", formatted, step.spans.alias("loss_mask"))
+    name = F.when(F.col("tree") != "n", F.substring("tree", 2, 100_000).cast(kind)).alias("tree")
+    return whole.select(name, "branch", formatted, step.spans.alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -248,8 +248,7 @@ def test_chat_round_trip(spark):
     by = defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: tuple((v is not None, v) for v in r)):
         by[c].append((r or "", x or ""))
-    by.pop(None)
-    assert {c: [tuple(t) for t in r.turns] for c, r in out.items() if c is not None} == dict(by)
+    assert {c: [tuple(t) for t in r.turns] for c, r in out.items()} == dict(by)
     for c, turns in by.items():
         assert out[c].loss_text == "".join(x for r, x in turns if r == "assistant")
         assert out[c].formatted.count(chat.CLOSE) == len(turns)
