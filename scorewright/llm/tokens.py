@@ -2,22 +2,23 @@
 
 The vocabulary drops white space, and neither its normalizer nor its splitting pattern looks across a space, so a text's ids
 are the ids of its words in order. Words of ASCII and Latin letters go through the model of the `tokenizers` library
-with two bounded caches; any other word is encoded by the library whole.
+with two bounded caches, of words and of their parts; any other word is encoded by the library whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 
-#: Fixed values of the vocabulary file: its splitting pattern.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = re.compile(r"[!-~À-ɏ]+")
+#: Words of these characters are split here: ASCII, and the Latin letters (with × and ÷ among them) whose small forms are one character each.
+PLAIN = re.compile(r"[!-~À-įı-ſ]+")
+#: Fixed value of the vocabulary file: its splitting pattern, over small PLAIN characters.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-zß-öø-ſ0-9]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,24 +37,34 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.limit = cache_words
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        if any("<" not in s for s in self.special):
+            raise ValueError("a special token without <")
+        self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
     def _part(self, part: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        out = np.array(ids, self.dtype).tobytes()
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        out = self._bytes([t.id for t in self.model.tokenize(shown)])
         if len(self.parts) < self.limit:
             self.parts[part] = out
         return out
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            known = self.parts
-            out = b"".join([known.get(p) or self._part(p) for p in SPLIT.findall(unicodedata.normalize("NFC", word).lower())])
+        known = self.parts
+        if word.isascii() and word.isalpha():
+            small = word.lower()
+            out = known.get(small) or self._part(small)
+        elif PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
+            small = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
+            out = b"".join([known.get(p) or self._part(p) for p in SPLIT.findall(small)])
         else:
-            out = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+            out = self._bytes(self.whole.encode(word, add_special_tokens=False).ids)
         if len(self.words) < self.limit and len(word) <= 64:
             self.words[word] = out
         return out
