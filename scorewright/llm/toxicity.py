@@ -11,6 +11,7 @@ both kinds every score is the share of toxic labels (0 if there is none); other
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,6 +77,7 @@ class Model:
 
 def chi_square(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = a.astype(float), b.astype(float)
         n = na + nb
         out = n * (a * (nb - b) - b * (na - a)) ** 2.0 / (na * nb * (a + b) * (n - a - b) * 1.0)
     return np.nan_to_num(out, nan=0.0, posinf=0.0)
@@ -139,7 +141,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flags[_bucket(h)] = True
             seen[label] += flags
             rows[label] += 1
-    yield pa.record_batch([pa.array([rows.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], ["rows", "seen"])
+    yield pa.record_batch([pa.array([rows.tobytes()], pa.binary()), pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["rows", "seen"])
 
 
 def _features(wanted: np.ndarray):
@@ -153,7 +155,7 @@ def _features(wanted: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 4096, penalty: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 2048, penalty: float = 1.0) -> Model:
     """labels (doc_id, toxic 0/1): fit on documents that they name; labels that are null or neither 0 nor 1 are passed over."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -161,28 +163,31 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, feature
     # At most sample_rows pairs of numbers are broadcast. The sample is kept in order, so that fitting is repeatable.
     sample = written(rows.join(F.broadcast(named), "doc_id").select("doc_id", "text", "toxic").repartition(PARTS), "labelled")
     seen, n = np.zeros((2, BUCKETS)), np.zeros(2, np.int64)
-    for r in sample.coalesce(PARTS).mapInArrow(_counts, "rows binary, seen binary").toLocalIterator():
-        seen += np.frombuffer(r.seen, np.int32).reshape(2, BUCKETS)
+    for r in sample.coalesce(PARTS).mapInArrow(_counts, "rows binary, seen binary").collect():
+        seen += np.frombuffer(zlib.decompress(r.seen), np.int32).reshape(2, BUCKETS)
         n += np.frombuffer(r.rows, np.int64)
     if not n.all():
         forget(sample)
         share = n[1] / max(1, n.sum())
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     wanted = np.argsort(-chi_square(seen[1], seen[0], *n[::-1]), kind="stable")[:features]
-    got = [(r.toxic, np.frombuffer(r.grams, np.uint64)) for r in sample.mapInArrow(_features(wanted), "toxic int, grams binary").collect()]
+    got = sorted((r.toxic, bytes(r.grams)) for r in sample.mapInArrow(_features(wanted), "toxic int, grams binary").collect())
     forget(sample)
-    got.sort(key=lambda x: (x[0], x[1].tobytes()))
     y = np.array([label for label, _ in got])
-    grams, place = np.unique(np.concatenate([g for _, g in got]), return_inverse=True)
-    owner = np.repeat(y, [len(g) for _, g in got])
-    a, b = np.bincount(place, weights=owner, minlength=len(grams)), np.bincount(place, weights=1 - owner, minlength=len(grams))
+    edges = np.cumsum([0, *(len(g) // 8 for _, g in got)])
+    every = np.frombuffer(b"".join(g for _, g in got), np.uint64)
+    del got
+    grams, place = np.unique(every, return_inverse=True)
+    place = place.astype(np.int32)
+    split = edges[np.searchsorted(y, 1)]  # sorted by label: toxic ones last
+    b, a = (np.bincount(x, minlength=len(grams)) for x in (place[:split], place[split:]))
     chi = chi_square(a, b, *n[::-1])
     chi[a + b < 3] = 0
     keep = np.sort(np.argsort(-chi, kind="stable")[:features])
     keep = keep[chi[keep] > 0]
-    number = np.full(len(grams), -1)
+    number = np.full(len(grams), -1, np.int32)
     number[keep] = np.arange(len(keep))
-    numbered, edges = number[place], np.cumsum([0, *(len(g) for _, g in got)])
+    numbered = number[place]
     rows_of = [x[x >= 0] for x in (numbered[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True))]
     weights, bias = logistic(rows_of, y, log_ratio(a[keep], b[keep], *n[::-1]), penalty)
     return Model(grams[keep], weights, bias)
