@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,15 +53,21 @@ def _fingerprints(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
+            kept = [name for name in batch.schema.names if name != "text"]
+            yield pa.record_batch([*map(batch.column, kept), pa.array(found)], [*kept, "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, keep_hash: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long of the same bits; with text_hash, a hash of the whole text, before fp if keep_hash."""
+    own = [_text_hash(F.col("text")).alias("text_hash")] if keep_hash else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints(size, seed), f"doc_id long, {'text_hash long, ' if keep_hash else ''}fp long")
 
 
 def masks(half: int) -> list[int]:
@@ -83,19 +89,40 @@ def near_links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.distinct().filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
-    fps = written(fingerprints(docs, size, seed), "fingerprints")
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, made longer until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _labelled(fps: DataFrame, radius: int) -> DataFrame:
+    """fps (doc_id, fp): (fp, root, component_id) of each distinct fingerprint; root is the smallest fingerprint that links reach."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     joined = written(components(near_links(classes.select("fp"), radius)), "labels")
     lowest = joined.join(classes, joined.node == classes.fp).groupBy("root").agg(F.min("first_id").alias("low"))
-    labels = joined.join(lowest, "root").select(F.col("node").alias("fp"), "low")
-    named = classes.join(labels, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    labels = joined.join(lowest, "root").select(F.col("node").alias("fp"), "root", "low")
+    return classes.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The documents whose doc_id names their group; of rows that repeat a doc_id, one."""
-    groups = near_duplicates(docs, radius)
-    keep = groups.filter("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.doc_id), "left_semi").dropDuplicates(["doc_id"])
+def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
+    fps = written(fingerprints(docs, size, seed), "fingerprints")
+    return fps.join(_labelled(fps, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group: that of the smallest doc_id (a null one last), then of the smallest hash of its text.
+
+    A doc_id names no row by itself, so groups whose rows have no doc_id, or share one with other groups, keep a row too.
+    """
+    fps = written(fingerprints(docs, size, seed, keep_hash=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = fps.groupBy("fp").agg(F.min(row).alias("first"))
+    best = firsts.join(_labelled(fps, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep_id, keep_hash, own_id, own_hash = (_unused(docs, name) for name in ("keep_id", "keep_hash", "own_id", "own_hash"))
+    keep = best.select(F.col("first.doc_id").alias(keep_id), F.col("first.text_hash").alias(keep_hash)).distinct()
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: _text_hash(F.col("text"))})
+    same = F.col(own_id).eqNullSafe(F.col(keep_id)) & F.col(own_hash).eqNullSafe(F.col(keep_hash))
+    return own.join(keep, same, "left_semi").dropDuplicates([own_id, own_hash]).select(docs.columns)

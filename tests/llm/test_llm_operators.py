@@ -170,6 +170,13 @@ def test_dedup_keeps_one_of_each(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_dedup_without_ids_and_with_shared_ones(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[0]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (2, texts[3]), (None, None), (None, "")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id int, text string").withColumns({"own_id": F.lit("x"), "Keep_Id": F.lit(1)})).collect()
+    assert Counter((r.doc_id, r.text or "", r.own_id) for r in got) == Counter([(5, texts[0], "x"), (None, texts[1], "x"), (7, texts[2], "x"), (2, texts[3], "x"), (None, "", "x")])
+
+
 # 3 pii
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
