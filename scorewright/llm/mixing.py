@@ -34,8 +34,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     order = Window.orderBy("bar", "source_key")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = (F.lit(share) * F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = most.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("bar"), F.col("level"))).over(Window.partitionBy()))
-    return levels.select("source_key", "source_size", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
+    # What all sources take at a level is the least of the lines that these levels solve, so the level that meets the budget is the highest.
+    levels = most.withColumn("level", level).withColumn("level", F.max("level").over(Window.partitionBy()))
+    return levels.select("source_key", "source_size", F.least("most", F.col("level") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2, digits: int = 3) -> DataFrame:

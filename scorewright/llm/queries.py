@@ -118,7 +118,7 @@ by_source AS (SELECT s, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (r
 bars AS (SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS bar FROM by_source),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY bar, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY bar, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM bars),
-targets AS (SELECT s, source_size, least(most, coalesce((SELECT min(level) FROM levels WHERE level <= bar) * weight, most)) AS target FROM levels),
+targets AS (SELECT s, source_size, least(most, (SELECT max(level) FROM levels) * weight) AS target FROM levels),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY s ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS ahead FROM sized),
 planned AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target) / source_size)::BIGINT ELSE 0 END AS copies FROM placed JOIN targets USING (s))
 SELECT doc_id, size, source_size, target, CAST(copies * size + greatest(0, least(size, floor(target)::BIGINT - copies * source_size - ahead)) AS BIGINT) AS taken FROM planned""",

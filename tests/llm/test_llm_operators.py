@@ -448,6 +448,46 @@ def test_piece_checksums(spark):
         assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
 
 
+def reshared(sizes, share, most):
+    """Share by weight, stop those above, share what they gave back among the rest, until none is above."""
+    weight = {s: [5.0, 2.0, 1.0][i % 3] for i, s in enumerate(sorted(sizes))}
+    left, stopped, free = share * sum(sizes.values()), {}, set(sizes)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        above = {s for s in free if level * weight[s] > most * sizes[s]}
+        if not above:
+            break
+        for s in above:
+            stopped[s] = most * sizes[s]
+            left -= stopped[s]
+        free -= above
+    return stopped | {s: level * weight[s] for s in free}
+
+
+@pytest.mark.parametrize("share", [0.5, 1.5, 2.0, 3.0])
+@pytest.mark.parametrize("sizes", [[18380, 17905, 20670, 15800, 13855, 15044, 22905, 21060, 20517, 25457], [7], [0, 0], [0, 5, 900, 1, 40, 40]])
+def test_mix_targets(spark, sizes, share):
+    table = {f"v{i}": n for i, n in enumerate(sizes)}
+    df = spark.createDataFrame(list(table.items()), "source_key string, source_size long")
+    got = {r.source_key: r.target for r in mixing.source_targets(df, (5, 2, 1), share, 2).collect()}
+    assert got == pytest.approx(reshared(table, share, 2))
+
+
+def test_mix_of_many_sources(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = queries.op9_mix(spark, "/root/testdata/sf0.01").join(documents.select("doc_id", "source"), "doc_id").collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        size[r.source] += r["size"]
+        taken[r.source] += r.taken
+        target["w" if r.source is None else "v" + r.source] = r.target
+        assert 0 <= r.taken <= 2 * r["size"]
+    key = lambda s: "w" if s is None else "v" + s
+    assert target == pytest.approx(reshared({key(s): n for s, n in size.items()}, 1.5, 2))
+    assert all(abs(taken[s] - target[key(s)]) <= 1 for s in size)
+    assert abs(sum(taken.values()) - 1.5 * sum(size.values())) <= len(size)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     db = duckdb.connect()
