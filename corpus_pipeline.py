@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import mixing, packing, pii, queries, simhash, toxicity
+from scorewright.llm import mixing, packing, pii, queries, shingles, toxicity
 from scorewright.llm._store import written
 
 
@@ -22,8 +22,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (five-word Jaccard similarity of 0.8) stays: that of the smallest doc_id."""
+    return shingles.one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

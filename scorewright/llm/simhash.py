@@ -112,17 +112,26 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, seed: int =
     return fps.join(_labelled(fps, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
+def first_row() -> Column:
+    """Sorts rows by doc_id (a null one last), then by the hash of their text."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+
+
+def rows_named(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of docs for each `first`, a first_row(), of best."""
+    keep_id, keep_hash, own_id, own_hash = (_unused(docs, name) for name in ("keep_id", "keep_hash", "own_id", "own_hash"))
+    keep = best.select(F.col("first.doc_id").alias(keep_id), F.col("first.text_hash").alias(keep_hash)).distinct()
+    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: _text_hash(F.col("text"))})
+    same = F.col(own_id).eqNullSafe(F.col(keep_id)) & F.col(own_hash).eqNullSafe(F.col(keep_hash))
+    return own.join(keep, same, "left_semi").dropDuplicates([own_id, own_hash]).select(docs.columns)
+
+
 def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
     """One row of each group: that of the smallest doc_id (a null one last), then of the smallest hash of its text.
 
     A doc_id names no row by itself, so groups whose rows have no doc_id, or share one with other groups, keep a row too.
     """
     fps = written(fingerprints(docs, size, seed, keep_hash=True), "fingerprints")
-    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    firsts = fps.groupBy("fp").agg(F.min(row).alias("first"))
+    firsts = fps.groupBy("fp").agg(F.min(first_row()).alias("first"))
     best = firsts.join(_labelled(fps, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep_id, keep_hash, own_id, own_hash = (_unused(docs, name) for name in ("keep_id", "keep_hash", "own_id", "own_hash"))
-    keep = best.select(F.col("first.doc_id").alias(keep_id), F.col("first.text_hash").alias(keep_hash)).distinct()
-    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: _text_hash(F.col("text"))})
-    same = F.col(own_id).eqNullSafe(F.col(keep_id)) & F.col(own_hash).eqNullSafe(F.col(keep_hash))
-    return own.join(keep, same, "left_semi").dropDuplicates([own_id, own_hash]).select(docs.columns)
+    return rows_named(docs, best)

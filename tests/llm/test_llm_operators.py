@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scorewright.llm import ann, chat, components, mixing, packing, pii, quality, queries, secrets, simhash, tokens, toxicity, urls
+import corpus_pipeline
+from scorewright.llm import ann, chat, components, mixing, packing, pii, quality, queries, secrets, shingles, simhash, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,6 +178,39 @@ def test_dedup_without_ids_and_with_shared_ones(spark):
     assert Counter((r.doc_id, r.text or "", r.own_id) for r in got) == Counter([(5, texts[0], "x"), (None, texts[1], "x"), (7, texts[2], "x"), (2, texts[3], "x"), (None, "", "x")])
 
 
+def plain_runs(text):
+    words = [w.translate(str.maketrans(urls.UPPER, urls.LOWER)) for w in WORD.findall(text or "")]
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_kept(rows):
+    """(doc_id, text) -> the doc_ids that stay, by comparing all pairs."""
+    sets = {d: plain_runs(t) for d, t in rows}
+    nodes = sorted(sets)
+    group = plain_groups(nodes, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    return {d for d in nodes if group[d] == d}
+
+
+def test_dedup_stage_finds_near_copies(spark, docs, plain, empty):
+    """Copies with single words replaced, in one large group and in chains; texts below 0.8 stay."""
+    base = [[f"w{g}x{i}" for i in range(120)] for g in range(4)]
+    rows = [(1000 + 40 * g + k, " ".join("new" + str(k) if k and i in (7 * k % 120, (7 * k + 50) % 120)[: 1 + g % 2] else w for i, w in enumerate(base[g]))) for g in range(4) for k in range(40)]
+    chain = [f"c{i}" for i in range(200)]
+    rows += [(2000 + k, " ".join(chain[5 * k : 5 * k + 100])) for k in range(12)] + [(3000 + k, " ".join(chain[30 * k :][:60] + [f"only{k}"] * 3)) for k in range(4)]
+    rows += [(d, t) for d, t, _ in plain] + [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 5000", "text").collect()]
+    want = plain_kept(rows)
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(want)
+    assert len(want & set(range(1000, 1160))) == 4 and corpus_pipeline.near_dedup_stage(spark, empty, SF).count() == 0
+
+
+def test_dedup_stage_without_ids(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abc"]
+    rows = [(None, texts[0]), (None, texts[0] + " more"), (None, texts[1]), (7, texts[2]), (7, texts[1]), (None, None), (None, "")]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id int, text string"), SF).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in got) == [(0, ""), (0, "a"), (7, "b"), (7, "c")]
+
+
 # 3 pii
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
