@@ -8,12 +8,14 @@ exact budget in key order; the document at the cut is taken in part.
 Targets: the budget is shared by weight; a source stops at `most_epochs` times its size and its excess is shared again by
 weight, until none is above. That is min(most, level * weight) for one level, found by sorting sources by size over weight.
 
-Defined results: null text has size 0; a null source is a source, last; ties of key go by doc_id, then size; repeated rows are
+Defined results: null text has size 0; rows without a doc_id are taken like others; a null source is a source, last; ties of key go by doc_id, then size; repeated rows are
 rows of their own; an empty table gives none; a source of size 0 has target 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,7 +74,9 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     plan = plan.withColumn("mix_row", F.row_number().over(Window.partitionBy(*same).orderBy("copies", "cut")))
     own = docs.withColumns({"mix_id": F.col("doc_id"), "mix_source": F.coalesce("source", F.lit("")), "mix_size": words_in(F.col("text").cast("string"))})
     own = own.withColumn("mix_row", F.row_number().over(Window.partitionBy(*same).orderBy("text")))
-    taken = own.join(plan, [*same, "mix_row"])
+    # A null doc_id is planned like any other, so it has to meet its plan too.
+    plan = plan.select(*(F.col(c).alias(f"plan_{c}") for c in [*same, "mix_row"]), "copies", "cut")
+    taken = own.join(plan, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in [*same, "mix_row"])))
     full = F.when(F.col("cut") == F.col("mix_size"), F.col("copies") + 1).otherwise(F.col("copies"))
     whole = taken.withColumn("mix_copy", F.explode(F.when(full > 0, F.sequence(F.lit(1).cast("long"), full)))).select(docs.columns)
     part = taken.filter("cut > 0 and cut < mix_size").withColumn("text", first_words(F.col("text"), F.col("cut"))).select(docs.columns)

@@ -436,6 +436,18 @@ def test_mixing(docs, plain, empty):
     assert out.columns == docs.columns and out.agg(F.sum(mixing.words_in(F.col("text")))).first()[0] == sum(taken.values())
 
 
+def test_mixed_keeps_rows_without_ids_and_with_shared_ones(spark):
+    rows = [(None, f"n{i} " * (3 + i % 4), ["a", None, "b"][i % 3]) for i in range(30)] + [(i // 4, f"s{i} " * (2 + i % 5), ["a", None, "b"][i % 3]) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, None, "a"), (None, "", None)], "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] += r.taken
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id, r.source] += len(WORD.findall(r.text or ""))
+    assert {k: n for k, n in got.items() if n} == {k: n for k, n in want.items() if n} and any(d is None for d, _ in +got)
+    assert {t.split()[0] for d, t, _ in rows if d is None} & {r.text.split()[0] for r in mixing.mixed(docs).filter("text <> ''").collect()}
+
+
 # 10 quality
 
 
