@@ -45,11 +45,11 @@ def _counted(path: str, end_id: int, dtype: str):
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 ids = [np.frombuffer(tok.raw(t.as_py()), tok.dtype).astype(dtype).tobytes() for t in batch.column("text")]
-                queues, before, n = batch.column("source").to_pylist(), [], [len(x) // np.dtype(dtype).itemsize for x in ids]
+                queues, before, n = batch.column("queue").to_pylist(), [], [len(x) // np.dtype(dtype).itemsize for x in ids]
                 for q, k in zip(queues, n, strict=True):
                     before.append(served.get(q, 0))
                     served[q] = before[-1] + k
-                yield pa.record_batch([pa.array([part] * len(n), pa.int64()), pa.array(queues, pa.string()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), batch.column("doc_id").cast(pa.int64())], ["part", "source", "before", "n", "ids", "doc_id"])
+                yield pa.record_batch([pa.array([part] * len(n), pa.int64()), batch.column("queue"), batch.column("source"), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), batch.column("doc_id").cast(pa.int64())], ["part", "queue", "source", "before", "n", "ids", "doc_id"])
 
     return run
 
@@ -115,7 +115,7 @@ def cut(rounds: Rounds, s: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np
     return row[head], start[head], length, lo[head]
 
 
-def _pieces(names: list, totals: list[int], weights: list[float], window: int, min_piece: int, dtype: str):
+def _pieces(names: list[str], totals: list[int], weights: list[float], window: int, min_piece: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {q: i for i, q in enumerate(names)}
         rounds = Rounds(np.array(totals), np.array(weights, float), window, min_piece)
@@ -123,11 +123,11 @@ def _pieces(names: list, totals: list[int], weights: list[float], window: int, m
             for at in range(0, whole.num_rows, STEP):
                 batch = whole.slice(at, STEP)
                 n, a = batch.column("n").to_numpy(), batch.column("first").to_numpy()
-                queues = batch.column("source").to_pylist()
+                queues, sources = batch.column("queue").to_pylist(), batch.column("source")
                 row, start, length, place = cut(rounds, np.array([number[q] for q in queues]), a, a + n)
                 raw = [np.frombuffer(x.as_py(), dtype).astype("<u4").tobytes() for x in batch.column("ids")]
                 ids = [raw[r][4 * i : 4 * (i + k)] for r, i, k in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(n[row]), pa.array(place // window), pa.array(place % window), pa.array([queues[r] for r in row.tolist()], pa.string())], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"])
+                yield pa.record_batch([batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(n[row]), pa.array(place // window), pa.array(place % window), sources.take(pa.array(row))], ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"])
 
     return run
 
@@ -136,23 +136,31 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
     """Pack docs (doc_id, text, source) into sequences of `window` ids; a row for each piece, ids as little-endian unsigned 32-bit.
 
     weights: target share of each source (1 for a source that it lacks); None takes each source's own share of all tokens, so no queue runs
-    dry before the others. More than max_queues sources are dealt over that many queues by hash, which bounds the table of queues.
+    dry before the others. With more than max_queues sources, those that weights names keep queues of their own and the rest are dealt by
+    hash over as many as are left (one at least), which bounds the table of queues; such a queue weighs as much as its sources together.
     """
     if min_piece > window:
         raise ValueError("min_piece is larger than the window")
     dtype = WordTokenizer(tokenizer).dtype.str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    if not small_enough(rows.select("source").distinct(), max_queues):
-        rows = rows.withColumn("source", F.format_string("queue %d", F.pmod(F.xxhash64("source"), F.lit(max_queues))))
-    kept = written(rows.mapInArrow(_counted(tokenizer, end_id, dtype), "part long, source string, before long, n long, ids binary, doc_id long"), "tokens")
-    key = F.coalesce(F.concat(F.lit("v"), "source"), F.lit("w")).alias("queue")  # a null source last
-    tasks = written(kept.groupBy("part", key).agg(F.sum("n").alias("tokens"), F.first("source").alias("name")), "tasks")
-    queues = sorted((r.queue, r.name, r.total) for r in tasks.groupBy("queue").agg(F.first("name").alias("name"), F.sum("tokens").alias("total")).collect())
+    key = F.coalesce(F.concat(F.lit("v"), "source"), F.lit("w"))  # a null source last
+    named = {"w" if name is None else f"v{name}": float(x) for name, x in (weights or {}).items()}
+    hashed = not small_enough(rows.select("source").distinct(), max_queues)
+    if hashed:
+        bucket = F.format_string("q%d", F.pmod(F.xxhash64("source"), F.lit(max(1, max_queues - len(named)))))
+        key = F.when(key.isin(list(named)), key).otherwise(bucket) if named else bucket
+    rows = rows.withColumn("queue", key)
+    kept = written(rows.mapInArrow(_counted(tokenizer, end_id, dtype), "part long, queue string, source string, before long, n long, ids binary, doc_id long"), "tokens")
+    tasks = written(kept.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "tasks")
+    queues = sorted((r.queue, r.total) for r in tasks.groupBy("queue").agg(F.sum("tokens").alias("total")).collect())
     starts = tasks.select("part", "queue", (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("base"))
     if small_enough(tasks, BROADCAST_ROWS):
         starts = F.broadcast(starts)
-    placed = kept.withColumn("queue", key).join(starts, ["part", "queue"]).select("doc_id", "source", "n", "ids", (F.col("base") + F.col("before")).alias("first"))
-    share = [float(t) if weights is None else float(weights.get(name, 1.0)) for _, name, t in queues]
+    placed = kept.join(starts, ["part", "queue"]).select("doc_id", "source", "queue", "n", "ids", (F.col("base") + F.col("before")).alias("first"))
+    if hashed and weights is not None:
+        dealt = kept.select("queue", "source").distinct().filter(F.col("queue").startswith("q")).groupBy("queue").count()
+        named |= {r.queue: float(r["count"]) for r in dealt.collect()}
+    share = [float(t) if weights is None else named.get(queue, 1.0) for queue, t in queues]
     if any(x <= 0 for x in share):
         raise ValueError("a weight is not above zero")
-    return placed.mapInArrow(_pieces([x[1] for x in queues], [x[2] for x in queues], share, window, min_piece, dtype), PIECES)
+    return placed.mapInArrow(_pieces([x[0] for x in queues], [x[1] for x in queues], share, window, min_piece, dtype), PIECES)

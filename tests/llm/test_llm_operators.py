@@ -86,6 +86,20 @@ def test_packing_round_trip(docs, plain, window, least):
     check_pieces(rows_of(packing.pack(docs, path, window=window, min_piece=least, weights={"hot": 5.0, None: 0.5}, max_queues=3)), plain, window)
 
 
+def test_packing_weights_and_names_beyond_the_queues(spark):
+    """Twelve sources in queues for six: the windows hold the given weights while all sources last, and names stay."""
+    rows = [(100 * s + i, "one two three four five six seven " * 8, None if s == 11 else f"s{s}") for s in range(12) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=128, min_piece=16, weights={"s3": 11.0, None: 2.0}, max_queues=6).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(d, s) for d, _, s in rows}
+    first = Counter()
+    for r in got:
+        if r.sequence_id < 10:
+            first[r.source] += r.length
+    total = sum(first.values())
+    assert total == 1280 and abs(first["s3"] - 1280 * 11 / 23) <= 64 and abs(first[None] - 1280 * 2 / 23) <= 16
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
