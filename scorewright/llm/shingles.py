@@ -4,9 +4,12 @@ A text is the set of its runs of `size` words (all its words as one run if it ha
 `bands * rows` minima of hashed runs are cut into bands; two nodes that agree in a whole band meet in its bucket, so a pair of similarity s
 is missed with probability (1 - s^rows)^bands: 7 in a million at 0.8 for the defaults, less above. Every link is verified on the sets.
 
-In each bucket all nodes are first compared with the smallest one. Buckets whose nodes are then in one component need nothing more;
-in the others, nodes of different components are all compared, so every pair that meets is compared or linked already, and a
-large group of near copies costs its size, not its square.
+Before sets are read, pairs are compared by sketches: the parity of the hashes on each of 1024 bits. Sketches differ in no more bits than
+the sets differ in runs, so what they rule out is surely below the similarity.
+
+In each bucket all nodes are first compared with the smallest and the largest one. Buckets whose nodes are then in one component need nothing
+more; in the others, nodes of different components are all compared, so every pair that meets is compared or linked already.
+Texts that share much with a large group and are no near copies of it are thus compared, by sketch, with all nodes of their buckets.
 
 Defined results: null text has no words; texts without words are copies of each other; repeated rows are one group; an empty table gives an
 empty result; other columns are kept.
@@ -15,11 +18,12 @@ empty result; other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +33,8 @@ from .simhash import _text_hash, first_row, rows_named
 
 #: Runs whose hashed values are held at once.
 STEP = 4096
+#: Long columns of a sketch.
+SKETCH = [f"s{i}" for i in range(16)]
 
 
 def word_runs(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -49,18 +55,35 @@ def band_keys(runs: np.ndarray, odd: np.ndarray, bands: int) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[b * width : (b + 1) * width], b) for b in range(bands)], np.uint64).view(np.int64).tolist()
 
 
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """The parity of the runs on each of the sketch's bits, as signed longs."""
+    odd = np.bincount((runs >> np.uint64(20)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _possible(a: str, b: str, least: float) -> Column:
+    """Whether the sketches of the columns with these prefixes leave it open that the sets are as similar as `least`."""
+    apart = reduce(Column.__add__, (F.bit_count(F.col(a + c).bitwiseXOR(F.col(b + c))) for c in SKETCH))
+    return F.greatest(apart, F.abs(F.col(a + "n") - F.col(b + "n"))) <= (1 - least) / (1 + least) * (F.col(a + "n") + F.col(b + "n")) + 1e-6
+
+
+def _named(nodes: DataFrame, at: str) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(at + c) for c in ["fp", "n", *SKETCH]))
+
+
 def _nodes(size: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            fp, n, keys = [], [], []
+            fp, n, keys, sketches = [], [], [], []
             for text in batch.column("text"):
                 runs = word_runs(text.as_py(), size, seed)
                 fp.append(xxhash.xxh64_intdigest(runs.tobytes(), seed))
                 n.append(len(runs))
+                sketches.append(sketch(runs))
                 keys.append(band_keys(runs, odd, bands) if len(runs) else [])
-            found = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), *found], ["doc_id", "text_hash", "fp", "n", "keys"])
+            found = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T.copy())]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), *found], ["doc_id", "text_hash", "fp", "n", "keys", *SKETCH])
 
     return run
 
@@ -88,7 +111,8 @@ def _alike(least: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, least: float, seed: int) -> DataFrame:
     """The pairs (u, v) whose sets are as similar as `least`; only the texts of nodes in pairs are read again."""
-    pairs = written(pairs.distinct(), "pairs")
+    pairs = pairs.distinct().withColumnsRenamed({"u": "a_fp", "v": "b_fp"}).join(_named(nodes, "a_"), "a_fp").join(_named(nodes, "b_"), "b_fp")
+    pairs = written(pairs.filter(_possible("a_", "b_", least)).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")), "pairs")
     asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
     asked = nodes.join(asked, "fp", "left_semi").select("fp", "text_hash")
     found = texts.join(asked, "text_hash").dropDuplicates(["fp"]).select("fp", "text")
@@ -98,21 +122,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, l
 
 
 def near_groups(texts: DataFrame, nodes: DataFrame, size: int, least: float, seed: int) -> DataFrame:
-    """(node, root) of all nodes that have a near-duplicate. texts (text_hash, text); nodes (fp, text_hash, n, keys)."""
+    """(node, root) of all nodes that have a near-duplicate. texts (text_hash, text); nodes (fp, text_hash, n, keys, sketch)."""
     bucket = Window.partitionBy("bucket")
-    met = nodes.select(F.explode("keys").alias("bucket"), F.struct("fp", "n").alias("node")).withColumn("first", F.min("node").over(bucket))
-    met = written(met.filter("node.fp <> first.fp").select("bucket", "first", "node"), "met")
-    close = lambda a, b: (F.least(a, b) + 1e-6 >= least * F.greatest(a, b))  # noqa: E731  (a set much larger is never as similar)
-    star = met.filter(close(F.col("first.n"), F.col("node.n"))).select(F.col("first.fp").alias("u"), F.col("node.fp").alias("v"))
+    met = nodes.select(F.explode("keys").alias("bucket"), "fp").withColumns({"low": F.min("fp").over(bucket), "high": F.max("fp").over(bucket)})
+    met = written(met.filter("low <> high"), "met")
+    star = met.select(F.explode(F.array("low", "high")).alias("end"), "fp").filter("end <> fp").select(F.least("end", "fp").alias("u"), F.greatest("end", "fp").alias("v"))
     links = _verified(star, texts, nodes, size, least, seed)
     labels = written(components(links), "labels")
-    rest = met.select("bucket", "node", F.col("node.fp").alias("at")).join(labels.withColumnRenamed("node", "at"), "at", "left")
-    rest = rest.select("bucket", F.col("node.fp").alias("fp"), F.col("node.n").alias("n"), F.coalesce("root", "at").alias("root"))
-    mixed = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    rest = met.select("bucket", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low <> high and members > 2").select("bucket")
     rest = written(rest.join(mixed, "bucket", "left_semi"), "rest")
-    a, b = (rest.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("fp", "n", "root"))) for k in "ab")
-    cross = a.join(b, "bucket").filter("fp_a < fp_b and root_a <> root_b").filter(close(F.col("n_a"), F.col("n_b")))
-    more = _verified(cross.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v")), texts, nodes, size, least, seed)
+    a, b = (rest.select("bucket", F.col("fp").alias(f"{k}_fp"), F.col("root").alias(f"{k}_root")).join(_named(nodes, f"{k}_"), f"{k}_fp") for k in "ab")
+    cross = a.join(b, "bucket").filter("a_fp < b_fp and a_root <> b_root").filter(_possible("a_", "b_", least))
+    more = _verified(cross.select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")), texts, nodes, size, least, seed)
     if more.isEmpty():
         return labels
     return written(components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "labels")
@@ -121,8 +143,8 @@ def near_groups(texts: DataFrame, nodes: DataFrame, size: int, least: float, see
 def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 30, rows: int = 5, seed: int = 42) -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest doc_id (a null one last), then of the smallest hash of its text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = written(own.mapInArrow(_nodes(size, bands, rows, seed), "doc_id long, text_hash long, fp long, n long, keys array<long>"), "nodes")
-    nodes = found.groupBy("fp").agg(F.min(first_row()).alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = written(own.mapInArrow(_nodes(size, bands, rows, seed), "doc_id long, text_hash long, fp long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "nodes")
+    nodes = found.groupBy("fp").agg(F.min(first_row()).alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in SKETCH))
     nodes = written(nodes, "classes")
     groups = near_groups(own.select("text_hash", "text"), nodes, size, least, seed)
     rooted = nodes.select("fp", "first").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
