@@ -1,32 +1,53 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables in the folder that all executors share, and their end.
+
+Whoever opens scratch() owns the tables written inside it and deletes them on leaving, but for those that it keeps. Tables written
+outside belong to the application: the file system deletes them when the application ends.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir or set as checkpoint directory; in local mode alone, else a folder of this process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scorewright-")
     return _LOCAL[app]
 
 
+def _place(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it back: cuts the lineage, survives the loss of an executor, is computed once."""
     path = f"{shared_folder(df.sparkSession)}/scorewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    files, target = _place(df.sparkSession, path)
+    files.deleteOnExit(target)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scorewright_path = path
+    for made in _SCRATCH[-1:]:
+        made.append(out)
     return out
 
 
@@ -34,11 +55,35 @@ def forget(df: DataFrame) -> None:
     """Delete what written() made, once nothing reads it any more."""
     path = getattr(df, "_scorewright_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        files, target = _place(df.sparkSession, path)
+        files.delete(target, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are written inside, but for those passed to the function that it gives. What leaves the block must not read the others."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _SCRATCH.pop()
+        for df in made:
+            if not any(df is k for k in kept):
+                forget(df)
+        for outer in _SCRATCH[-1:]:
+            outer += kept
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than one row beyond that."""
+    """Whether df has at most so many rows. A partition that is not written yet is read up to the bound."""
     return df.limit(rows + 1).count() <= rows
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
