@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: rows without a doc_id, or that share one, are rows like others in every stage; null texts pass toxicity by the score of no
+features, are one group in near_dedup and size 0 in mixing; an empty table gives none; further columns are kept until packing.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import mixing, packing, pii, queries, shingles, toxicity
-from scorewright.llm._store import written
+from scorewright.llm import mixing, packing, pii, queries, simhash, toxicity
+from scorewright.llm._store import forget, scratch, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word Jaccard similarity of 0.8) stays: that of the smallest doc_id."""
-    return shingles.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +60,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch() as keep:  # the stage's own tables go when its result is written
+            docs = keep(written(stage(spark, before, sf_dir), name))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,8 +1,7 @@
-"""Near-duplicates by Jaccard similarity of word runs: MinHash bands find the pairs, the runs themselves decide.
+"""Word runs of texts, and near-duplicates by the Jaccard similarity of their sets.
 
-A text is the set of its runs of `size` words (all its words as one run if it has no more). Texts of equal sets are one node. A node's
-`bands * rows` minima of hashed runs are cut into bands; two nodes that agree in a whole band meet in its bucket, so a pair of similarity s
-is missed with probability (1 - s^rows)^bands: 7 in a million at 0.8 for the defaults, less above. Every link is verified on the sets.
+A text is the set of its runs of `size` words (all its words as one run if it has no more); texts of equal sets are one node. Nodes that
+share a bucket meet, and every link is verified on the sets themselves.
 
 Before sets are read, pairs are compared by sketches: the parity of the hashes on each of 1024 bits. Sketches differ in no more bits than
 the sets differ in runs, so what they rule out is surely below the similarity.
@@ -10,9 +9,6 @@ the sets differ in runs, so what they rule out is surely below the similarity.
 In each bucket all nodes are first compared with the smallest and the largest one. Buckets whose nodes are then in one component need nothing
 more; in the others, nodes of different components are all compared, so every pair that meets is compared or linked already.
 Texts that share much with a large group and are no near copies of it are thus compared, by sketch, with all nodes of their buckets.
-
-Defined results: null text has no words; texts without words are copies of each other; repeated rows are one group; an empty table gives an
-empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -29,7 +25,6 @@ from pyspark.sql.window import Window
 
 from ._store import written
 from .components import components
-from .simhash import _text_hash, first_row, rows_named
 
 #: Runs whose hashed values are held at once.
 STEP = 4096
@@ -37,15 +32,19 @@ STEP = 4096
 SKETCH = [f"s{i}" for i in range(16)]
 
 
-def word_runs(text: str | None, size: int, seed: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs; words are split at ASCII white space, A-Z lower-cased."""
+def run_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
+    """Hashes of all runs, repeats included; words are split at ASCII white space, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= size:
         return np.array([hashed(joined, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[:-size].tolist()]
-    return np.unique(np.array([hashed(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64))
+    return np.array([hashed(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def multipliers(bands: int, rows: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def band_keys(runs: np.ndarray, odd: np.ndarray, bands: int) -> list[int]:
@@ -68,30 +67,13 @@ def _possible(a: str, b: str, least: float) -> Column:
 
 
 def _named(nodes: DataFrame, at: str) -> DataFrame:
-    return nodes.select(*(F.col(c).alias(at + c) for c in ["fp", "n", *SKETCH]))
-
-
-def _nodes(size: int, bands: int, rows: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
-            fp, n, keys, sketches = [], [], [], []
-            for text in batch.column("text"):
-                runs = word_runs(text.as_py(), size, seed)
-                fp.append(xxhash.xxh64_intdigest(runs.tobytes(), seed))
-                n.append(len(runs))
-                sketches.append(sketch(runs))
-                keys.append(band_keys(runs, odd, bands) if len(runs) else [])
-            found = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.array(sketches, np.int64).reshape(-1, len(SKETCH)).T.copy())]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), *found], ["doc_id", "text_hash", "fp", "n", "keys", *SKETCH])
-
-    return run
+    return nodes.select(*(F.col(c).alias(at + c) for c in ["node", "n", *SKETCH]))
 
 
 def _sets(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("fp"), pa.array([word_runs(t.as_py(), size, seed).tobytes() for t in batch.column("text")], pa.binary())], ["fp", "runs"])
+            yield pa.record_batch([batch.column("node"), pa.array([np.unique(run_hashes(t.as_py(), size, seed)).tobytes() for t in batch.column("text")], pa.binary())], ["node", "runs"])
 
     return run
 
@@ -111,41 +93,29 @@ def _alike(least: float):
 
 def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, least: float, seed: int) -> DataFrame:
     """The pairs (u, v) whose sets are as similar as `least`; only the texts of nodes in pairs are read again."""
-    pairs = pairs.distinct().withColumnsRenamed({"u": "a_fp", "v": "b_fp"}).join(_named(nodes, "a_"), "a_fp").join(_named(nodes, "b_"), "b_fp")
-    pairs = written(pairs.filter(_possible("a_", "b_", least)).select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")), "pairs")
-    asked = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    asked = nodes.join(asked, "fp", "left_semi").select("fp", "text_hash")
-    found = texts.join(asked, "text_hash").dropDuplicates(["fp"]).select("fp", "text")
-    sets = written(found.mapInArrow(_sets(size, seed), "fp long, runs binary"), "sets")
-    named = lambda at: sets.select(F.col("fp").alias(at), F.col("runs").alias(f"{at}_runs"))
+    pairs = pairs.distinct().withColumnsRenamed({"u": "a_node", "v": "b_node"}).join(_named(nodes, "a_"), "a_node").join(_named(nodes, "b_"), "b_node")
+    pairs = written(pairs.filter(_possible("a_", "b_", least)).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")), "pairs")
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = nodes.join(asked, "node", "left_semi").select("node", "row")
+    sets = written(texts.join(asked, "row").select("node", "text").mapInArrow(_sets(size, seed), "node long, runs binary"), "sets")
+    named = lambda at: sets.select(F.col("node").alias(at), F.col("runs").alias(f"{at}_runs"))
     return written(pairs.join(named("u"), "u").join(named("v"), "v").select("u", "v", "u_runs", "v_runs").mapInArrow(_alike(least), "u long, v long"), "alike")
 
 
-def near_groups(texts: DataFrame, nodes: DataFrame, size: int, least: float, seed: int) -> DataFrame:
-    """(node, root) of all nodes that have a near-duplicate. texts (text_hash, text); nodes (fp, text_hash, n, keys, sketch)."""
+def near_groups(texts: DataFrame, nodes: DataFrame, buckets: Column, size: int, least: float, seed: int) -> DataFrame:
+    """(node, root) of all nodes that have a near-duplicate. texts (row, text); nodes (node, row of one of its texts, n, sketch); buckets: an array of longs."""
     bucket = Window.partitionBy("bucket")
-    met = nodes.select(F.explode("keys").alias("bucket"), "fp").withColumns({"low": F.min("fp").over(bucket), "high": F.max("fp").over(bucket)})
+    met = nodes.select(F.explode(buckets).alias("bucket"), "node").withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     met = written(met.filter("low <> high"), "met")
-    star = met.select(F.explode(F.array("low", "high")).alias("end"), "fp").filter("end <> fp").select(F.least("end", "fp").alias("u"), F.greatest("end", "fp").alias("v"))
+    star = met.select(F.explode(F.array("low", "high")).alias("end"), "node").filter("end <> node").select(F.least("end", "node").alias("u"), F.greatest("end", "node").alias("v"))
     links = _verified(star, texts, nodes, size, least, seed)
     labels = written(components(links), "labels")
-    rest = met.select("bucket", "fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = met.select("bucket", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rest.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).filter("low <> high and members > 2").select("bucket")
     rest = written(rest.join(mixed, "bucket", "left_semi"), "rest")
-    a, b = (rest.select("bucket", F.col("fp").alias(f"{k}_fp"), F.col("root").alias(f"{k}_root")).join(_named(nodes, f"{k}_"), f"{k}_fp") for k in "ab")
-    cross = a.join(b, "bucket").filter("a_fp < b_fp and a_root <> b_root").filter(_possible("a_", "b_", least))
-    more = _verified(cross.select(F.col("a_fp").alias("u"), F.col("b_fp").alias("v")), texts, nodes, size, least, seed)
+    a, b = (rest.select("bucket", F.col("node").alias(f"{k}_node"), F.col("root").alias(f"{k}_root")).join(_named(nodes, f"{k}_"), f"{k}_node") for k in "ab")
+    cross = a.join(b, "bucket").filter("a_node < b_node and a_root <> b_root").filter(_possible("a_", "b_", least))
+    more = _verified(cross.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")), texts, nodes, size, least, seed)
     if more.isEmpty():
         return labels
     return written(components(labels.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "labels")
-
-
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 30, rows: int = 5, seed: int = 42) -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest doc_id (a null one last), then of the smallest hash of its text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string").alias("text"))
-    found = written(own.mapInArrow(_nodes(size, bands, rows, seed), "doc_id long, text_hash long, fp long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "nodes")
-    nodes = found.groupBy("fp").agg(F.min(first_row()).alias("first"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"), *(F.first(c).alias(c) for c in SKETCH))
-    nodes = written(nodes, "classes")
-    groups = near_groups(own.select("text_hash", "text"), nodes, size, least, seed)
-    rooted = nodes.select("fp", "first").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    return rows_named(docs, rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")))

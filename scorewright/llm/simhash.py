@@ -6,8 +6,14 @@ one ball, so they are at most as many as the ball's variants whatever the corpus
 copies are merged before they are emitted, and no list of all pairs is made. At an odd radius the ball's members
 can be one bit too far apart, so pairs are then compared within the (bounded) ball. Every pair is verified.
 
-Defined results: null text has no words; no words give fingerprint zero, linked like any other; repeated rows are kept; an
-empty table gives an empty result; other columns are ignored.
+one_of_each() groups texts whose sets of five-word runs are alike by 0.8 or more. Fingerprints of such texts mostly differ by 2 to 15 of 64
+bits, which no ball of bearable size spans, so there the ball's variants are joined by the band hashes of the same runs as further
+buckets, and the exact similarity of the sets verifies whatever meets. A pair of similarity s is missed by the bands with probability
+(1 - s^rows)^bands: 7 in a million at 0.8 for the defaults, less above.
+
+Defined results: null text has no words; no words give fingerprint zero, linked like any other; repeated rows are kept (by
+one_of_each: one of them); very long texts are hashed whole; an empty table gives an empty result; other columns are ignored (by
+one_of_each: kept, whatever their names).
 """
 
 from __future__ import annotations
@@ -22,24 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import written
+from . import shingles
+from ._store import unused, written
 from .components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: A class of more than one in so many rows is joined by broadcast: there are fewer than that many such classes.
+HOT = 1000
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
-    """Words are split at ASCII white space, A-Z lower-cased; the hash of each run of `size` words votes on 64 bits."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-size].tolist()]
-    hashed = xxhash.xxh64_intdigest
-    votes = np.array([hashed(joined[a:b], seed) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64)
+def majority(votes: np.ndarray) -> int:
+    """The bits that are set in over half the votes."""
     lanes = votes.view(np.uint8).reshape(-1, 8)
     out = 0
     for lane in range(8):
@@ -49,25 +48,27 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return out
 
 
+def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
+    """Words are split at ASCII white space, A-Z lower-cased; the hash of each run of `size` words votes on 64 bits."""
+    return majority(shingles.run_hashes(text, size, seed))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
 def _fingerprints(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), size, seed) for t in batch.column("text")], np.uint64).view(np.int64)
-            kept = [name for name in batch.schema.names if name != "text"]
-            yield pa.record_batch([*map(batch.column, kept), pa.array(found)], [*kept, "fp"])
+            yield pa.record_batch([batch.column("doc_id"), _signed([fingerprint(t.as_py(), size, seed) for t in batch.column("text")])], ["doc_id", "fp"])
 
     return run
 
 
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(text.cast("string"))
-
-
-def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, keep_hash: bool = False) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long of the same bits; with text_hash, a hash of the whole text, before fp if keep_hash."""
-    own = [_text_hash(F.col("text")).alias("text_hash")] if keep_hash else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *own, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(size, seed), f"doc_id long, {'text_hash long, ' if keep_hash else ''}fp long")
+def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long of the same bits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprints(size, seed), "doc_id long, fp long")
 
 
 def masks(half: int) -> list[int]:
@@ -76,10 +77,14 @@ def masks(half: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+def variants(fp: Column, radius: int) -> Column:
+    """All fingerprints within half the radius."""
+    return F.transform(F.array(*map(F.lit, masks((radius + 1) // 2))), lambda m: fp.bitwiseXOR(m))
+
+
 def near_links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     """(u, v): verified links that join all fingerprints within the radius; those that share a ball form a chain."""
-    differences = masks((radius + 1) // 2)
-    ball = distinct_fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, differences)), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    ball = distinct_fps.select("fp", F.explode(variants(F.col("fp"), radius)).alias("variant"))
     if radius % 2:
         other = ball.select("variant", F.col("fp").alias("v"))
         met = ball.withColumnRenamed("fp", "u").join(other, "variant").filter("u < v").select("u", "v")
@@ -89,49 +94,56 @@ def near_links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.distinct().filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
-def _unused(docs: DataFrame, name: str) -> str:
-    """The name, made longer until docs has no such column."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
-def _labelled(fps: DataFrame, radius: int) -> DataFrame:
-    """fps (doc_id, fp): (fp, root, component_id) of each distinct fingerprint; root is the smallest fingerprint that links reach."""
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    joined = written(components(near_links(classes.select("fp"), radius)), "labels")
-    lowest = joined.join(classes, joined.node == classes.fp).groupBy("root").agg(F.min("first_id").alias("low"))
-    labels = joined.join(lowest, "root").select(F.col("node").alias("fp"), "root", "low")
-    return classes.join(labels, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("low", "first_id").alias("component_id"))
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     fps = written(fingerprints(docs, size, seed), "fingerprints")
-    return fps.join(_labelled(fps, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
-
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("members")), "classes")
+    joined = written(components(near_links(classes.select("fp"), radius)), "labels")
+    lowest = joined.join(classes, joined.node == classes.fp).groupBy("root").agg(F.min("first_id").alias("low"))
+    labels = joined.join(lowest, "root").select(F.col("node").alias("fp"), "low")
+    labels = written(classes.join(labels, "fp", "left").select("fp", "members", F.coalesce("low", "first_id").alias("component_id")), "components")
+    # The rows of a hot fingerprint stay where they are: the few classes that hold so large a share of all rows are broadcast.
+    hot = labels.filter(F.col("members") * HOT > (classes.agg(F.sum("members")).first()[0] or 0)).select("fp", F.col("component_id").alias("hot_id"))
+    marked = fps.join(F.broadcast(hot), "fp", "left")
+    rest = marked.filter("hot_id is null").drop("hot_id").join(labels, "fp")
+    return marked.filter("hot_id is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "fp", "component_id"))
 
-def first_row() -> Column:
-    """Sorts rows by doc_id (a null one last), then by the hash of their text."""
-    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
 
+def _nodes(size: int, bands: int, rows: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = shingles.multipliers(bands, rows, seed)
+        for batch in batches:
+            node, fp, n, keys, sketches = [], [], [], [], []
+            for text in batch.column("text"):
+                every = shingles.run_hashes(text.as_py(), size, seed)
+                runs = np.unique(every)
+                node.append(xxhash.xxh64_intdigest(runs.tobytes(), seed))
+                fp.append(majority(every))
+                n.append(len(runs))
+                sketches.append(shingles.sketch(runs))
+                keys.append(shingles.band_keys(runs, odd, bands) if len(runs) else [])
+            found = [_signed(node), _signed(fp), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, np.array(sketches, np.int64).reshape(-1, len(shingles.SKETCH)).T.copy())]
+            yield pa.record_batch([batch.column("first"), *found], ["first", "node", "fp", "n", "keys", *shingles.SKETCH])
 
-def rows_named(docs: DataFrame, best: DataFrame) -> DataFrame:
-    """One row of docs for each `first`, a first_row(), of best."""
-    keep_id, keep_hash, own_id, own_hash = (_unused(docs, name) for name in ("keep_id", "keep_hash", "own_id", "own_hash"))
-    keep = best.select(F.col("first.doc_id").alias(keep_id), F.col("first.text_hash").alias(keep_hash)).distinct()
-    own = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: _text_hash(F.col("text"))})
-    same = F.col(own_id).eqNullSafe(F.col(keep_id)) & F.col(own_hash).eqNullSafe(F.col(keep_hash))
-    return own.join(keep, same, "left_semi").dropDuplicates([own_id, own_hash]).select(docs.columns)
+    return run
 
 
-def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42) -> DataFrame:
-    """One row of each group: that of the smallest doc_id (a null one last), then of the smallest hash of its text.
+def one_of_each(docs: DataFrame, least: float = 0.8, size: int = 5, radius: int = 2, bands: int = 30, rows: int = 5, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest doc_id (a null one last), then of the smallest hash of its row.
 
-    A doc_id names no row by itself, so groups whose rows have no doc_id, or share one with other groups, keep a row too.
+    A doc_id names no row by itself, so rows are named by their number in a table that is written first.
     """
-    fps = written(fingerprints(docs, size, seed, keep_hash=True), "fingerprints")
-    firsts = fps.groupBy("fp").agg(F.min(first_row()).alias("first"))
-    best = firsts.join(_labelled(fps, radius), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return rows_named(docs, best)
+    at = unused(docs, "near_row")
+    kept = written(docs.withColumn(at, F.monotonically_increasing_id()), "documents")
+    whole = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("doc_id"), whole.alias("hash"), F.col(at).alias("row"))
+    texts = kept.select(F.col(at).alias("row"), F.col("text").cast("string").alias("text"))
+    found = kept.select(first.alias("first"), F.col("text").cast("string").alias("text"))
+    schema = "first struct<last:boolean,doc_id:long,hash:long,row:long>, node long, fp long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in shingles.SKETCH)
+    found = written(found.mapInArrow(_nodes(size, bands, rows, seed), schema), "rows")
+    nodes = found.groupBy("node").agg(F.min("first").alias("first"), F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("n", "keys", *shingles.SKETCH)))
+    nodes = written(nodes.withColumn("row", F.col("first.row")), "nodes")
+    groups = shingles.near_groups(texts, nodes, F.concat("keys", variants(F.col("fp"), radius)), size, least, seed)
+    rooted = nodes.select("node", "first").join(groups, "node", "left")
+    best = rooted.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(at))
+    return kept.join(best, at, "left_semi").select(docs.columns)
