@@ -9,15 +9,22 @@ even. That is exact for every key of the universe, and looking up needs no join:
 Size: level 1 takes `bits_per_key` bits a listed key, and listed keys beyond `max_keys` are refused before anything is
 collected, so literals have a known bound; each later level encodes a small share of the one two before it.
 
+All cascades of a query are built from one pass over the corpus: what the first levels let through is written, and deeper levels read that.
+
 Defined results: a null url, or one without "://", has an empty host and path; only A-Z of the host is lower-cased; a url with no
-rule has rule null and the default verdict; repeated rows are kept; other columns are ignored.
+rule has rule null and the default verdict; very long urls are read whole; repeated rows are kept; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -64,26 +71,29 @@ def _bit(place: Column) -> Column:
 
 
 class Cascade:
-    """listed (key): distinct keys; universe (key): every key that will be asked, repeats and listed ones included."""
+    """Exact membership of listed keys among every key that will be asked; deeper() adds the levels that the first one's errors call for."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, bits_per_key: int = 10, max_keys: int = 1_000_000, most_levels: int = 32):
-        listed = listed.select("key").distinct()
-        n = listed.limit(max_keys + 1).count()
+    def __init__(self, listed: DataFrame, bits_per_key: int = 10, max_keys: int = 1_000_000, most_levels: int = 32):
+        self.listed = listed.select("key").distinct()
+        n = self.listed.limit(max_keys + 1).count()
         if n > max_keys:
             raise ValueError(f"more than {max_keys} listed keys")
-        self.levels = [Bloom(bits_per_key * n, 5, 0).fill(listed)]
-        # What level 1 lets through is the listed keys and few others; copies of a key are merged before the shuffle.
-        wrong = universe.filter(self.levels[0].has(F.col("key"))).select("key").distinct().join(listed, "key", "left_anti")
-        sides = [wrong, listed]
-        while len(self.levels) < most_levels:
+        self.bits_per_key, self.most_levels = bits_per_key, most_levels
+        self.levels = [Bloom(bits_per_key * n, 5, 0).fill(self.listed)]
+
+    def deeper(self, passed: DataFrame) -> Cascade:
+        """passed (key): all keys of the universe that level 1 lets through, and maybe others."""
+        wrong = passed.filter(self.levels[0].has(F.col("key"))).select("key").distinct().join(self.listed, "key", "left_anti")
+        sides = [wrong, self.listed]
+        while len(self.levels) < self.most_levels:
             side = len(self.levels) % 2 == 0  # whose keys the next level encodes: 0 wrong, 1 listed
             keys = sides[side]
             for level in self.levels[1 if not side else 0 :]:
                 keys = keys.filter(level.has(F.col("key")))
             n = keys.count()
             if not n:
-                return
-            self.levels.append(Bloom(max(64, bits_per_key * n), 5, len(self.levels)).fill(keys))
+                return self
+            self.levels.append(Bloom(max(64, self.bits_per_key * n), 5, len(self.levels)).fill(keys))
         raise RuntimeError("the cascade did not end")
 
     def has(self, key: Column) -> Column:
@@ -93,6 +103,15 @@ class Cascade:
         return out
 
 
+def cascades(lists: dict[str, DataFrame], universe: DataFrame, **sizes: int) -> dict[str, Cascade]:
+    """lists of (key) by name; universe (key): every key that will be asked, repeats and listed ones included. It is read once."""
+    found = {name: Cascade(keys, **sizes) for name, keys in lists.items()}
+    any_level = reduce(Column.__or__, (c.levels[0].has(F.col("key")) for c in found.values()))
+    # What level 1 lets through is the listed keys and few others; copies of a key are merged before the shuffle.
+    passed = written(universe.filter(any_level).select("key").distinct(), "passed")
+    return {name: c.deeper(passed) for name, c in found.items()}
+
+
 def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """Keys host + path, longest first. Endings of the label counts, beginnings of the lengths that the rules have."""
     parts = F.split(host, r"\.", -1)
@@ -114,7 +133,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     labels, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for *_, p in rules})
     split = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = split.select(F.explode(candidates(F.col("host"), F.col("path"), labels, lengths)).alias("key"))
-    lists = {v: Cascade(spark.createDataFrame([(h + p,) for x, h, p in rules if x == v], "key string"), universe, **sizes) for v in ("allow", "block") if any(x == v for x, *_ in rules)}
+    listed = lambda v: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([h + p for x, h, p in rules if x == v])), "array<string>")).alias("key"))
+    lists = cascades({v: listed(v) for v in ("allow", "block") if any(x == v for x, *_ in rules)}, universe, **sizes)
     keys = candidates(F.col("host"), F.col("path"), labels, lengths)
     judged = F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), _verdict(lists, k).alias("verdict"))), lambda x: x.verdict.isNotNull())
     best = F.try_element_at(F.array_sort(judged), F.lit(-1))
