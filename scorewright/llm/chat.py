@@ -10,7 +10,9 @@ A turn is `### role: text</turn>` and a line feed. Inside roles and texts, a bac
 control string survives in them and reading back is exact. The loss mask lists the spans of assistant texts.
 
 Defined results: null texts and roles are empty; a message whose parent is absent is a root; a null conversation is one of its own; messages of equal turn are ordered by
-role, then text; a table without rows gives none; a cycle of parents has no root and raises; other columns are ignored.
+role, then text; a message without an id is a root and a leaf of its own; of messages that share tree and id, the first by parent, role, text and
+score stays; a table without rows gives none; a cycle of parents has no root and raises; other columns are ignored, whatever their names. A
+conversation is one value, and formatting and reading it take time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._arrays import running, texts_at
 from ._store import written
 
 OPEN, MIDDLE, CLOSE = "### ", ": ", "</turn>\n"
@@ -88,29 +91,33 @@ def _turn(x: Column) -> Column:
     return F.concat(F.lit(OPEN), x.role, F.lit(MIDDLE), x.text, F.lit(CLOSE))
 
 
-def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
+def sound(messages: DataFrame) -> DataFrame:
+    """messages (tree, id, parent, role, text, score) with ids that are not null and distinct within their tree: structs of whether it was made up, and the id."""
+    kind = "string" if dict(messages.dtypes)["id"] == "string" else "long"
+    own = F.struct(F.col("id").isNull().alias("made"), F.coalesce(F.col("id").cast(kind), F.monotonically_increasing_id().cast(kind)).alias("id"))
+    parent = F.when(F.col("parent").isNotNull(), F.struct(F.lit(False).alias("made"), F.col("parent").cast(kind).alias("id")))
+    rows = messages.select("tree", own.alias("id"), F.struct(parent.alias("parent"), "role", "text", "score").alias("row"))
+    rows = written(rows, "messages")  # so that a number that was made up stays
+    return rows.groupBy("tree", "id").agg(F.min("row").alias("row")).select("tree", "id", "row.*")
+
+
+def format_trees(messages: DataFrame, branches: int = 1, distinct: bool = False) -> DataFrame:
     """messages (tree, id, parent, role, text, score) -> (tree, branch, formatted, loss_mask): loss_mask has start and end of each assistant text, in code points.
 
     A conversation becomes one value, so it has to fit into a row; conversations never share a task's memory otherwise. Messages of
-    a null tree are one tree.
+    a null tree are one tree. distinct: ids are known to be distinct within their tree and not null.
     """
     kind = dict(messages.dtypes)["tree"]
     messages = messages.withColumn("tree", F.coalesce(F.concat(F.lit("v"), F.col("tree").cast("string")), F.lit("n")))
+    messages = messages if distinct else sound(messages)
     paths = choose_paths(messages.select("tree", "id", "parent", "score"), branches)
     texts = messages.select("tree", "id", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.coalesce("role", F.lit("")) == ASSISTANT).alias("learn"))
     whole = paths.join(texts, ["tree", "id"]).groupBy("tree", "branch").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text", "learn"))).alias("turns"))
     formatted = F.array_join(F.transform("turns", _turn), "").alias("formatted")
-    size = lambda x: F.char_length(_turn(x))
-    step = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc.at + size(x)).alias("at"),
-            F.when(x.learn, F.concat(acc.spans, F.array(F.struct((acc.at + size(x) - len(CLOSE) - F.char_length(x.text)).alias("start"), (acc.at + size(x) - len(CLOSE)).alias("end"))))).otherwise(acc.spans).alias("spans"),
-        ),
-    )
+    ends = running(F.transform("turns", lambda x: F.char_length(_turn(x)).cast("long")))
+    spans = F.zip_with("turns", ends, lambda x, end: F.when(x.learn, F.struct((end - len(CLOSE) - F.char_length(x.text)).alias("start"), (end - len(CLOSE)).alias("end"))))
     name = F.when(F.col("tree") != "n", F.substring("tree", 2, 100_000).cast(kind)).alias("tree")
-    return whole.select(name, "branch", formatted, step.spans.alias("loss_mask"))
+    return whole.select(name, "branch", formatted, F.filter(spans, lambda s: s.isNotNull()).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     body = F.split("formatted", CLOSE, -1)
     head = rf"^(?s){OPEN}([^:\n]*){MIDDLE}(.*)$"
     turns = F.transform(F.slice(body, 1, F.size(body) - 1), lambda t: F.struct(unescape(F.regexp_extract(t, head, 1)).alias("role"), unescape(F.regexp_extract(t, head, 2)).alias("text")))
-    under = F.array_join(F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int")))), "")
+    under = F.array_join(F.transform(texts_at(F.col("formatted"), F.col("loss_mask")), unescape), "")
     return formatted.withColumn("turns", turns).withColumn("loss_text", under)
 
 
