@@ -4,10 +4,14 @@ Two first-order models over characters, one of random strings and one of ordinar
 samples. A run of `[A-Za-z0-9+/_=-]` of `least` characters or more is a secret if the log-likelihood ratio of the models is
 `per_step` or more for each step, over all its steps. It is added as kind "random" unless it overlaps a base span.
 
+So that a random key behind a long ordinary path is not diluted, the pieces of a run between `/`, `_`, `-` and `=` that are `least` characters
+or longer are judged by themselves too; a run is a secret if it or one of them is.
+
 Places of matches: a text is split at the matches of a pattern, and the lengths of pieces and matches are summed.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; spans are of whole matches;
-characters that the models don't know can't occur in a candidate; other columns are ignored.
+characters that the models don't know can't occur in a candidate; texts of any length and any number of matches take time in proportion;
+repeated rows give their spans each; spans of equal start are in order of kind; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._arrays import let, running, slices
+
 #: Base kinds in order. Each pattern takes a maximal run, so its least length is the same as dropping shorter matches.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -85,12 +91,9 @@ def places(text: Column, matches: Column, pattern: str) -> Column:
     """Start and end of each of the matches, which are all those of the pattern in order."""
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p).cast("bigint"))
     sizes = F.transform(matches, lambda m: F.char_length(m).cast("bigint"))
-    found = F.aggregate(
-        F.zip_with(F.slice(pieces, 1, F.size(sizes)), sizes, lambda gap, n: F.struct(gap.alias("gap"), n.alias("n"))),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, x: F.struct((acc.at + x.gap + x.n).alias("at"), F.array_append(acc.spans, F.struct((acc.at + x.gap).alias("start"), (acc.at + x.gap + x.n).alias("end"))).alias("spans")),
-    )
-    return F.when(F.size(matches) > 0, found.spans)
+    steps = F.zip_with(F.slice(pieces, 1, F.size(matches)), sizes, lambda gap, n: gap + n)
+    found = F.zip_with(running(steps), sizes, lambda end, n: F.struct((end - n).alias("start"), end.alias("end")))
+    return F.when(F.size(matches) > 0, found)
 
 
 def _spans(found: Column, keep: Column | None, kind: int) -> Column:
@@ -100,6 +103,19 @@ def _spans(found: Column, keep: Column | None, kind: int) -> Column:
     return F.coalesce(F.transform(found, span), F.array().cast(SPANS))
 
 
+def is_random(run: Column, table: list[float], least: int, per_step: float) -> Column:
+    parts = F.filter(F.split(run, "[/_=-]+", -1), lambda p: (F.char_length(p) >= least) & (F.char_length(p) < F.char_length(run)))
+    return (ratio(run, table) >= per_step) | F.exists(parts, lambda p: ratio(p, table) >= per_step)
+
+
+def alone(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of base, which is in order of start; slices of base that lie elsewhere are passed over whole."""
+    ends = lambda xs: F.struct(F.element_at(xs, 1).start.alias("low"), F.array_max(F.transform(xs, lambda b: b.end)).alias("high"), xs.alias("spans"))
+    meets = lambda a, low, high: (low < a.end) & (a.start < high)
+    clear = lambda parts, spans: F.filter(spans, lambda m: ~F.exists(parts, lambda p: meets(m, p.low, p.high) & F.exists(p.spans, lambda b: meets(m, b.start, b.end))))
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(clear, F.transform(slices(base), ends), spans)).otherwise(spans)
+
+
 def find_secrets(docs: DataFrame, table: list[float], least: int = 20, per_step: float = 0.8) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind_no, end, kind) in order of start, then kind."""
     token = rf"[A-Za-z0-9+/_=-]{{{least},}}"
@@ -108,11 +124,10 @@ def find_secrets(docs: DataFrame, table: list[float], least: int = 20, per_step:
     rows = docs.select("doc_id", F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
     hits = rows.select("doc_id", "text", every(ASSIGN).alias("m0"), every(ACCESS).alias("m1"), every(HEX).alias("m2"), every(token).alias("m3"))
     hits = hits.withColumn("v0", F.when(F.size("m0") > 0, every(ASSIGN, 1)))
-    hits = hits.withColumn("r3", F.transform("m3", lambda m: ratio(m, table) >= per_step))
+    hits = hits.withColumn("r3", F.transform("m3", lambda m: is_random(m, table, least, per_step)))
     found = hits.select("doc_id", *(places(t, c(f"m{i}"), p).alias(f"p{i}") for i, p in enumerate((ASSIGN, ACCESS, HEX))), F.when(F.exists("r3", lambda r: r), places(t, c("m3"), token)).alias("p3"), "v0", "r3")
     spans = found.select("doc_id", F.array_sort(F.concat(_spans(c("p0"), F.transform("v0", lambda v: F.char_length(v) >= 6), 0), _spans(c("p1"), None, 1), _spans(c("p2"), None, 2))).alias("base"), _spans(c("p3"), c("r3"), 3).alias("more"))
-    alone = F.filter("more", lambda m: ~F.exists("base", lambda b: (b.start < m.end) & (m.start < b.end)))
-    return spans.select("doc_id", "base", F.array_sort(F.concat("base", alone)).alias("spans"))
+    return spans.select("doc_id", "base", F.array_sort(F.concat("base", alone(c("more"), c("base")))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
