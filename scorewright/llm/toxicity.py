@@ -3,10 +3,13 @@
 Features are the distinct character n-grams of the lower-cased text, 3 to 6 long, by 64-bit hash. Their ratios of document
 frequencies in toxic and other texts scale them, and a logistic regression with a penalty is fitted to the scaled
 features. At most `sample_rows` labelled documents (those of the smallest hashes of their ids) and `features` n-grams are used
-to fit, so fitting is of bounded size; scoring reads every whole text once and moves nothing.
+to fit, so fitting is of bounded size: exact counts of n-grams are summed and ranked by Spark, and only the chosen `features` and the
+sample's lists of them reach the driver. Scoring reads every whole text once and moves nothing.
 
-Defined results: null and empty texts get the score of no features; repeated rows are scored alike; without labels of
-both kinds every score is the share of toxic labels (0 if there is none); other columns are ignored.
+Defined results: null and empty texts get the score of no features; repeated rows are scored alike; an id labelled both toxic and not is passed
+over; of rows that share a labelled id, the smallest text is fitted on; n-grams of equal rank go by hash; without labels of
+both kinds every score is the share of toxic labels (0 if there is none); an empty table gives none; other columns are ignored (by
+reject_toxic: kept).
 """
 
 from __future__ import annotations
@@ -144,24 +147,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([rows.tobytes()], pa.binary()), pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary())], ["rows", "seen"])
 
 
-def _features(wanted: np.ndarray):
+def _grams(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BUCKETS, bool)
         flags[wanted] = True
         for batch in batches:
-            found = [present(t.as_py(), flags).tobytes() for t in batch.column("text")]
-            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "grams"])
+            found = [present(t.as_py(), flags).view(np.int64) for t in batch.column("text")]
+            edges = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            yield pa.record_batch([batch.column("toxic"), pa.ListArray.from_arrays(edges, pa.array(np.concatenate([*found, np.empty(0, np.int64)])))], ["toxic", "grams"])
+
+    return run
+
+
+def _numbers(grams: np.ndarray):
+    """Each row's places in the sorted grams, at most as many as there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(grams, np.array(x.as_py(), np.int64).view(np.uint64), assume_unique=True)).astype(np.uint16).tobytes() for x in batch.column("grams")]
+            yield pa.record_batch([batch.column("toxic"), pa.array(found, pa.binary())], ["toxic", "numbers"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, features: int = 2048, penalty: float = 1.0) -> Model:
-    """labels (doc_id, toxic 0/1): fit on documents that they name; labels that are null or neither 0 nor 1 are passed over."""
-    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    """labels (doc_id, toxic 0/1): fit on documents that they name; labels that are null or neither 0 nor 1 are passed over. features: 65536 at most."""
+    named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and doc_id is not null")
+    named = named.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").drop("most")
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most sample_rows pairs of numbers are broadcast. The sample is kept in order, so that fitting is repeatable.
-    sample = written(rows.join(F.broadcast(named), "doc_id").select("doc_id", "text", "toxic").repartition(PARTS), "labelled")
+    sample = rows.join(F.broadcast(named), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = written(sample.repartition(PARTS), "labelled")
     seen, n = np.zeros((2, BUCKETS)), np.zeros(2, np.int64)
     for r in sample.coalesce(PARTS).mapInArrow(_counts, "rows binary, seen binary").collect():
         seen += np.frombuffer(zlib.decompress(r.seen), np.int32).reshape(2, BUCKETS)
@@ -171,26 +188,21 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, feature
         share = n[1] / max(1, n.sum())
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     wanted = np.argsort(-chi_square(seen[1], seen[0], *n[::-1]), kind="stable")[:features]
-    got = sorted((r.toxic, bytes(r.grams)) for r in sample.mapInArrow(_features(wanted), "toxic int, grams binary").collect())
+    held = written(sample.mapInArrow(_grams(wanted), "toxic int, grams array<long>"), "grams")
     forget(sample)
-    y = np.array([label for label, _ in got])
-    edges = np.cumsum([0, *(len(g) // 8 for _, g in got)])
-    every = np.frombuffer(b"".join(g for _, g in got), np.uint64)
-    del got
-    grams, place = np.unique(every, return_inverse=True)
-    place = place.astype(np.int32)
-    split = edges[np.searchsorted(y, 1)]  # sorted by label: toxic ones last
-    b, a = (np.bincount(x, minlength=len(grams)) for x in (place[:split], place[split:]))
-    chi = chi_square(a, b, *n[::-1])
-    chi[a + b < 3] = 0
-    keep = np.sort(np.argsort(-chi, kind="stable")[:features])
-    keep = keep[chi[keep] > 0]
-    number = np.full(len(grams), -1, np.int32)
-    number[keep] = np.arange(len(keep))
-    numbered = number[place]
-    rows_of = [x[x >= 0] for x in (numbered[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True))]
-    weights, bias = logistic(rows_of, y, log_ratio(a[keep], b[keep], *n[::-1]), penalty)
-    return Model(grams[keep], weights, bias)
+    counted = held.select("toxic", F.explode("grams").alias("gram")).groupBy("gram").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).filter("a + b > 2")
+    other, toxic = map(float, n)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    chi = (other + toxic) * F.pow(a * (other - b) - b * (toxic - a), F.lit(2.0)) / (toxic * other * (a + b) * (other + toxic - a - b))
+    best = counted.withColumn("chi", F.when(a + b < other + toxic, chi)).filter("chi > 0").orderBy(F.desc("chi"), "gram").limit(features).collect()
+    grams = np.array([r.gram for r in best], np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    grams, a, b = grams[order], np.array([r.a for r in best], np.int64)[order], np.array([r.b for r in best], np.int64)[order]
+    got = sorted((r.toxic, bytes(r.numbers)) for r in held.mapInArrow(_numbers(grams), "toxic int, numbers binary").collect())
+    forget(held)
+    rows_of = [np.frombuffer(x, np.uint16) for _, x in got]
+    weights, bias = logistic(rows_of, np.array([label for label, _ in got]), log_ratio(a, b, *n[::-1]), penalty)
+    return Model(grams, weights, bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
