@@ -46,8 +46,9 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
-    formatted = chat.format_trees(chat.linear(rows.unionByName(extra)))
+    lines = F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.inline(lines))
+    formatted = chat.format_trees(chat.linear(rows.unionByName(extra)), distinct=True)
     back = chat.read_back(formatted)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return back.select(
@@ -85,7 +86,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), with_features=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("rejected_by").isNull()).alias("kept"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scorewright.llm import ann, chat, components, mixing, packing, pii, quality, queries, secrets, shingles, simhash, tokens, toxicity, urls
+from scorewright.llm import ann, chat, components, mixing, packing, pii, quality, queries, secrets, simhash, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -285,12 +285,12 @@ def test_urls(spark):
 
 
 def test_cascade_is_exact_when_filters_are_poor(spark):
-    listed, every = spark.range(0, 2000, 10).selectExpr("cast(id as string) key"), spark.range(2000).selectExpr("cast(id as string) key")
-    cascade = urls.Cascade(listed, every, bits_per_key=2)
-    assert len(cascade.levels) > 3
-    assert {int(r.key) for r in every.filter(cascade.has(F.col("key"))).collect()} == set(range(0, 2000, 10))
+    listed, every = spark.range(0, 600, 10).selectExpr("cast(id as string) key"), spark.range(600).selectExpr("cast(id as string) key")
+    cascade = urls.cascades({"x": listed}, every, bits_per_key=3)["x"]
+    assert len(cascade.levels) > 2
+    assert {int(r.key) for r in every.filter(cascade.has(F.col("key"))).collect()} == set(range(0, 600, 10))
     with pytest.raises(ValueError, match="more than"):
-        urls.Cascade(listed, every, max_keys=5)
+        urls.Cascade(listed, max_keys=5)
 
 
 # 5 chat
@@ -340,7 +340,7 @@ def test_nearest(spark):
     rows[30:330] = [(i, rows[30][1]) for i in range(30, 330)]  # copies
     rows[400:405] = [(400, None), (401, [0.0] * 8), (402, [1.0, None] * 4), (403, [float("nan")] * 8), (404, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, block_rows=150, query_rows=7, shortlist=64).orderBy("query_id", "rank").collect()]
+    got = [tuple(r) for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=20, slices=5, query_rows=7, shortlist=64).orderBy("query_id", "rank").collect()]
     want = plain_nearest(rows, 20)
     assert len(got) == len(want)
     same = len({g[:1] + g[2:3] for g in got} & {w[:1] + w[2:3] for w in want}) / len(want)
@@ -475,18 +475,33 @@ def plain_quality(text):
 
 def test_quality(spark, docs, empty):
     for df in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")):
-        got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(df).collect())
+        got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(df, with_features=True).collect())
         assert got == Counter((r.doc_id, *plain_quality(r.text)) for r in df.collect())
     assert quality.judge(empty).count() == 0
 
 
 def test_quality_order_changes_nothing_but_cost(docs):
-    rules = [quality.Rule("never", F.lit(None).cast("boolean")), *quality.default_rules()]
+    rules = [quality.Rule("never", lambda f: F.lit(None).cast("boolean")), *quality.default_rules()]
     found = quality.features(docs)
-    measured = quality.measure(found, rules)
-    assert quality.ordered(rules, measured)[-1].name == "never"
-    both = [{r.doc_id for r in found.filter(quality.cascade(x).isNull()).collect()} for x in (rules, rules[::-1])]
+    measured = quality.measure(docs, rules)
+    assert quality.ordered(rules, measured)[-1].name == "never" and all(m.cost >= 1 for m in measured)
+    assert {m.name: m.rejected for m in measured if m.name in ("never", "few words")} == {"never": 0.0, "few words": pytest.approx(sum(r.n_words < 50 for r in found.collect()) / docs.count())}
+    both = [{r.doc_id for r in found.select("doc_id", quality.cascade(x, F.col).alias("by")).collect() if r.by is None} for x in (rules, rules[::-1])]
     assert both[0] == both[1]
+    judged = quality.judge(docs.withColumn("rejected_by", F.lit(7)), rules)
+    assert judged.columns == [*docs.columns, "rejected_by", "rejected_by_"] and {r.doc_id for r in judged.collect() if r.rejected_by_ is None} == both[0]
+
+
+def test_quality_skips_what_earlier_rules_reject(spark, docs):
+    """The later rule raises for texts that the earlier one rejects, so it must not be run for them."""
+    rules = [quality.Rule("few words", lambda f: f("n_words") < 50), quality.Rule("raises", lambda f: F.when(f("n_repeat_words") < 0, True).otherwise(F.when(f("n_words") < 50, F.raise_error(F.lit("run for a rejected text")).cast("boolean")).otherwise(f("n_words") > 10_000)))]
+    text = F.coalesce("text", F.lit(""))
+    give = lambda name: quality.feature(name, text)
+    assert sum(r.by == "few words" for r in docs.select(quality.cascade(rules, give).alias("by")).collect()) > 50
+    with pytest.raises(Exception, match="rejected text"):
+        docs.select(quality.cascade(rules[::-1], give).alias("by")).collect()
+    both = docs.select(*(quality.feature(n, text).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")))
+    assert Counter(map(tuple, both.collect())) == Counter(plain_quality(r.text) for r in docs.collect())
 
 
 def test_registered_queries_have_the_contract_s_columns(spark):
