@@ -94,17 +94,17 @@ def render_body(template: Any, **fields: Column | str) -> Column:
 
 
 def iso_date(x: Column | str) -> Column:
-    """dd-MM-yyyy and dd/MM/yyyy as ISO; anything else, or no such day, as it is."""
-    x = col(x)
-    found = [F.when(x.rlike(rf"^\d{{2}}{sep}\d{{2}}{sep}\d{{4}}$"), F.date_format(F.try_to_timestamp(x, F.lit(f"dd{sep}MM{sep}yyyy")), "yyyy-MM-dd")) for sep in "-/"]
-    return F.coalesce(*found, x)
+    """dd-MM-yyyy, dd/MM/yyyy and yyyy-MM-dd, blanks around them, as ISO; anything else, or no such day, as it is."""
+    x, bare = col(x), strip(x)
+    day = lambda shape, form: F.when(bare.rlike(shape), F.date_format(F.try_to_timestamp(bare, F.lit(form)), "yyyy-MM-dd"))
+    return F.coalesce(*(day(rf"^\d{{2}}{sep}\d{{2}}{sep}\d{{4}}$", f"dd{sep}MM{sep}yyyy") for sep in "-/"), day(r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), x)
 
 
 def padded_time(x: Column | str) -> Column:
-    """H:MM as HH:MM if it is a time of day."""
-    x = col(x)
-    h, m = (F.regexp_extract(x, r"^(\d{1,2}):(\d{2})$", i).try_cast("int") for i in (1, 2))
-    return F.when(x.rlike(r"^\d{1,2}:\d{2}$") & (h <= 23) & (m <= 59), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))).otherwise(x)
+    """H:MM, blanks around it, as HH:MM if it is a time of day."""
+    x, bare = col(x), strip(x)
+    h, m = (F.regexp_extract(bare, r"^(\d{1,2}):(\d{2})$", i).try_cast("int") for i in (1, 2))
+    return F.when(bare.rlike(r"^\d{1,2}:\d{2}$") & (h <= 23) & (m <= 59), F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"))).otherwise(x)
 
 
 def null_penalty(n: Column | str, each: float = 0.02, most: float = 0.20) -> Column:
@@ -348,13 +348,18 @@ def normalized(value: Any, schema: dict, prediction: bool, path: str = "", found
         if found is not None:
             found.append("null")
         return None
-    if m := re.fullmatch(r"(\d{1,2}):(\d{2})", value):
+    bare = value.strip()
+    if m := re.fullmatch(r"(\d{1,2}):(\d{2})", bare):
         return f"{int(m[1]):02d}:{m[2]}" if int(m[1]) <= 23 and int(m[2]) <= 59 else value
-    if (m := re.fullmatch(r"(\d{2})([-/])(\d{2})\2(\d{4})", value)) and is_date_schema(schema_at(path, schema)):
+    day = re.fullmatch(r"(?P<d>\d{2})([-/])(?P<m>\d{2})\2(?P<y>\d{4})", bare) or re.fullmatch(r"(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})", bare)
+    if day and is_date_schema(schema_at(path, schema)):
         try:
-            return pd.Timestamp(int(m[4]), int(m[3]), int(m[1])).strftime("%Y-%m-%d")
+            iso = pd.Timestamp(int(day["y"]), int(day["m"]), int(day["d"])).strftime("%Y-%m-%d")
         except ValueError:
             return value
+        if iso != value and found is not None:
+            found.append("date")
+        return iso
     return value
 
 

@@ -217,12 +217,17 @@ def repetition(x: Column | str, least: int = 18, window: int = 15, often: int =
     x = F.coalesce(col(x), F.lit(""))
 
     def inside(words: Column, n: Column) -> Column:
-        def looped(i: Column) -> Column:
-            first = F.element_at(words, i)
-            same = (first == F.element_at(words, i + 1)) & (first == F.element_at(words, i + 2))
-            return same | (F.size(F.filter(F.slice(words, i, window), lambda w: w == first)) >= often)
+        # Equal words stand together after one sort, by place: a word occurs `often` times in a window if the one `often - 1` further on is near enough.
+        def found(placed: Column) -> Column:
+            def looped(k: Column) -> Column:
+                here, third, last = (F.get(placed, k + step) for step in (0, 2, often - 1))
+                near = lambda there, far: F.coalesce((there.w == here.w) & (there.i - here.i <= far), F.lit(False))
+                return (here.i < n - window) & (near(third, 2) | near(last, window - 1))
 
-        return F.when(n >= max(least, window + 1), F.exists(F.sequence(F.lit(1), n - window), looped)).otherwise(False)
+            return F.exists(F.sequence(F.lit(0), n - 1), looped)
+
+        sorted_words = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        return F.when(n >= max(least, window + 1), let(found, sorted_words)).otherwise(False)
 
     words = split_words(x)
     return x.rlike(rf"{SPACE}{{80,}}") | let(lambda w: inside(w, F.size(w)), words)

@@ -19,11 +19,14 @@ def both_ways(a: Column, b: Column, a_lang: Column, b_lang: Column) -> Column:
 
 
 def paired_languages(texts: DataFrame, pairs: list[tuple[str, str]], id_col: str = "id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Texts of the same id in two languages, each pair twice. One join for all pairs, on the id."""
+    """Texts of the same id in two languages, each pair twice. One join for all pairs, on the id and the pair; other languages stay out of it."""
     wanted = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
-    left = texts.select(F.col(id_col).alias("id"), F.col(lang).alias("a"), F.col(text).alias("a_text"))
-    right = texts.select(F.col(id_col).alias("id"), F.col(lang).alias("b"), F.col(text).alias("b_text"))
-    met = left.join(right, "id").filter(F.array_contains(wanted, F.struct("a", "b")))
+
+    def side(own: str) -> DataFrame:
+        named = F.explode(F.filter(wanted, lambda p: p[own] == F.col(lang))).alias("pair")
+        return texts.select(F.col(id_col).alias("id"), F.col(text).alias(f"{own}_text"), named).select("id", f"{own}_text", "pair.a", "pair.b")
+
+    met = side("a").join(side("b"), ["id", "a", "b"])
     return met.select("id", F.explode(both_ways(F.col("a_text"), F.col("b_text"), F.col("a"), F.col("b"))).alias("way")).select("id", "way.*")
 
 

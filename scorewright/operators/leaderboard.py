@@ -68,6 +68,53 @@ def transcription_scores(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("word_accuracy", word_accuracy("wer")).groupBy(*by).agg(F.round(F.avg("word_accuracy"), 4).alias("score"))
 
 
+def copied_folder(name: Column | str, publishers: tuple[str, ...] = ("google", "meta-llama", "qwen")) -> Column:
+    """Whether a run folder is the copy of a model under `publisher__model`. The publishers."""
+    n = F.col(name) if isinstance(name, str) else name
+    return F.contains(n, F.lit("__")) & n.rlike("|".join(publishers))
+
+
+def structured_scores(runs: DataFrame) -> DataFrame:
+    """runs (model, metrics: map of aggregates, subtasks: array of (mean, valid_samples)) -> (model, task, metric, score), five rows a model.
+
+    The main score is the overall quality, else the quality, else 0; the composite score is the subtasks' mean, weighted by samples of more than none.
+    """
+    get = lambda k: F.coalesce(F.try_element_at("metrics", F.lit(k)), F.lit(0.0))
+    used = F.filter("subtasks", lambda s: s.mean.isNotNull() & (s.valid_samples > 0))
+    total = lambda f: F.aggregate(used, F.lit(0.0), lambda a, s: a + f(s))
+    composite = F.coalesce(F.try_divide(total(lambda s: s.mean * s.valid_samples), total(lambda s: s.valid_samples.cast("double"))), F.lit(0.0))
+    main = F.coalesce(F.try_element_at("metrics", F.lit("overall_extraction_quality_score")), get("extraction_quality_score"))
+    rows = (("extraction_quality_score", "eqs", main), ("composite_score", "composite_mean", composite), ("schema_validity", "validity_rate", get("schema_validity_rate")), ("field_f1_partial", "f1", get("field_f1_partial")), ("hallucination_rate", "hallucination_rate", get("hallucination_rate")))
+    return runs.select("model", F.inline(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(m).alias("metric"), s.alias("score")) for t, m, s in rows))))
+
+
+def speech_scores(rows: DataFrame) -> DataFrame:
+    """rows (model, task, wer, cer) -> (model, task, metric, score, wer, cer): word accuracy of each task that has a rate, and of `overall` their mean, to four places."""
+    known = rows.filter(F.col("wer").isNotNull()).withColumn("score", word_accuracy("wer"))
+    each = known.select("model", "task", F.lit("word_accuracy").alias("metric"), "score", F.round("wer", 4).alias("wer"), F.round(F.coalesce("cer", F.lit(0.0)), 4).alias("cer"))
+    null = F.lit(None).cast("double")
+    return each.unionByName(each.groupBy("model").agg(F.round(F.avg("score"), 4).alias("score")).select("model", F.lit("overall").alias("task"), F.lit("word_accuracy").alias("metric"), "score", null.alias("wer"), null.alias("cer")))
+
+
+def standard_scores(rows: DataFrame, category: str, metrics: list[str], preferred: str | None = None, divide_by: float = 1.0) -> DataFrame:
+    """rows (model, task, metrics...) -> (model, task, metric, score) by the preferred metric, else the first in order."""
+    return task_scores(rows.withColumn("category", F.lit(category)), [Category(category, category, preferred, divide_by)], metrics).select("model", "task", "metric", "score")
+
+
+#: Processors by name; an unknown name is the standard one.
+PROCESSORS = {
+    "standard_results_processor": standard_scores,
+    "portuguese_results_processor": standard_scores,
+    "translation_results_processor": lambda rows, category, metrics: standard_scores(rows, category, metrics, "chrf"),
+    "structured_extraction_results_processor": structured_scores,
+    "transcription_results_processor": speech_scores,
+}
+
+
+def processor(name: str):
+    return PROCESSORS.get(name, standard_scores)
+
+
 def category_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model", "category").agg(F.avg("score").alias("score"))
 

@@ -6,6 +6,8 @@ sorts the whole table. A rank inside groups is a window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,11 +32,33 @@ def run_metric(df: DataFrame) -> str | None:
     return (named or rest or [None])[0]
 
 
+def quantiles(df: DataFrame, value: str, at: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, q: array, min, max, n): exact quantiles, linear between neighbours, of the values that are neither null nor NaN.
+
+    Values are numbered by range partitions, and only the two neighbours of each quantile are looked up, so no task holds a group's values.
+    """
+    by = by or []
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(*by, v.alias("_v"))
+    ends = [F.min("_v").alias("min"), F.max("_v").alias("max"), F.count("_v").alias("n")]
+    placed = numbered(rows.filter("_v is not null"), [*by, "_v"], "_at")
+    groups = rows.groupBy(*by).agg(*ends)
+    starts = placed.groupBy(*(F.col(b).alias(f"_b{i}") for i, b in enumerate(by))).agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    place = [F.col("_start") + (F.col("_n") - 1) * F.lit(float(q)) for q in at]
+    wanted = F.array(*(F.struct(F.lit(i).alias("k"), F.floor(x).alias("low"), F.ceil(x).alias("high"), (x - F.floor(x)).alias("part")) for i, x in enumerate(place)))
+    asked = starts.select(*(f"_b{i}" for i in range(len(by))), F.explode(wanted).alias("w")).select("*", F.explode(F.array(F.struct(F.col("w.low").alias("_at"), (1 - F.col("w.part")).alias("share")), F.struct(F.col("w.high").alias("_at"), F.col("w.part").alias("share")))).alias("x"))
+    met = asked.join(placed.select("_at", "_v"), F.col("x._at") == F.col("_at"))
+    each = met.groupBy(*(f"_b{i}" for i in range(len(by))), F.col("w.k").alias("k")).agg(F.sum(F.col("x.share") * F.col("_v")).alias("q"))
+    found = each.groupBy(*(f"_b{i}" for i in range(len(by)))).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "q"))), lambda s: s.q).alias("q"))  # as many as are asked for
+    if not by:
+        return groups.join(F.broadcast(found), F.lit(True), "left").select("q", "min", "max", "n")  # a row each
+    same = reduce(Column.__and__, (F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(by)))
+    return groups.join(found, same, "left").select(*by, "q", "min", "max", "n")
+
+
 def quartiles(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Exact quartiles, linear between neighbours, with the ends and the count."""
-    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(*(by or [])).agg(q.alias("q"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")).select(*(by or []), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "min", "max", "n")
+    return quantiles(df, value, (0.25, 0.5, 0.75), by).select(*(by or []), *(F.get("q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))), "min", "max", "n")
 
 
 def bucket(value: Column, q1: Column, median: Column, q3: Column) -> Column:
@@ -61,10 +85,11 @@ def ranked(df: DataFrame, value: str, ident: str) -> DataFrame:
     """rank_asc, rank_desc (both from 1, each with ties by id) and percentile (rank - 1) / (n - 1), 1 for a single row."""
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("_id", F.col(ident).cast("string"))
     up = numbered(rows, [F.col(value).asc(), F.col("_id").asc()], "_up")
-    # Descending with ties by ascending id: from the other end, but groups of equal values keep their inner order.
-    same = Window.partitionBy(value)
+    # Descending with ties by ascending id: from the other end, but groups of equal values keep their inner order. Ends of groups
+    # are an aggregate that is joined back, so the rows of a frequent value stay in many tasks.
+    ends = up.groupBy(F.col(value).alias("_value")).agg(F.min("_up").alias("_first"), F.max("_up").alias("_last"))
     n = rows.agg(F.count("*").alias("_n"))
-    out = up.join(F.broadcast(n)).withColumns({"_first": F.min("_up").over(same), "_last": F.max("_up").over(same)})
+    out = up.join(F.broadcast(n)).join(ends, F.col(value) == F.col("_value")).drop("_value")
     down = F.col("_n") - 1 - F.col("_last") + (F.col("_up") - F.col("_first"))
     percentile = F.when(F.col("_n") == 1, 1.0).otherwise(F.try_divide(F.col("_up").cast("double"), (F.col("_n") - 1).cast("double")))
     return out.withColumns({"rank_asc": F.col("_up") + 1, "rank_desc": down + 1, "percentile": percentile}).drop("_id", "_up", "_first", "_last", "_n")

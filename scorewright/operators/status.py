@@ -115,34 +115,77 @@ def structured_class(raw: Column | str, schema: dict, output: Column | str | Non
     )
 
 
-#: What an endpoint's error says, by pattern.
+_CODE = r"(?:status code|error code)[:\s]+(\d{3})"
+#: Issue, severity, status code, and the parts of a message that tell it; the first that fits stands.
 ISSUES = (
-    ("rate_limit", r"(?i)\b429\b|rate.?limit|too many requests"),
-    ("auth", r"(?i)\b40[13]\b|unauthori[sz]ed|forbidden|invalid api key"),
-    ("not_found", r"(?i)\b404\b|not found"),
-    ("timeout", r"(?i)time[d]?.?out|\b408\b|\b504\b"),
-    ("connection", r"(?i)connection|refused|unreachable|reset by peer|dns"),
-    ("server_error", r"\b5\d\d\b|(?i)internal server error|bad gateway"),
-    ("bad_request", r"(?i)\b400\b|\b422\b|bad request|invalid request"),
+    ("invalid_api_key", "failed", 401, ("invalid api key", "unauthorized")),
+    ("forbidden", "failed", 403, ("forbidden",)),
+    ("model_not_found", "failed", 404, ()),
+    ("insufficient_credits", "failed", 429, ("insufficient_quota", "insufficient quota", "credits", "billing")),
+    ("rate_limited", "degraded", 429, ("rate limit",)),
 )
+#: Parts of a message that call for the longer back-off.
+RATE_WORDS = ("rate_limit", "rate limit", "429")
+
+
+def status_code(message: Column | str) -> Column:
+    """The three digits after "status code" or "error code", else null."""
+    x = F.lower(F.coalesce(text.col(message), F.lit("")))
+    return F.when(x.rlike(_CODE), F.regexp_extract(x, _CODE, 1).cast("int"))
+
+
+def issue(message: Column | str, error_type: Column | str | None = None) -> Column:
+    """(issue_code, severity, status_code as text) of an endpoint's error; all null where there is none."""
+    said, code = F.coalesce(text.col(message), F.lit("")), status_code(message)
+    x, kind = F.lower(said), F.coalesce(text.col(error_type), F.lit("")) if error_type is not None else F.lit("")
+    has = lambda *parts: F.coalesce(*(F.when(F.contains(x, F.lit(p)), True) for p in parts), F.lit(False))
+    fits = {name: F.coalesce(code == number, F.lit(False)) | (has(*parts) if parts else F.lit(False)) for name, _, number, parts in ISSUES}
+    fits["model_not_found"] |= has("model") & has("not found")
+    fits["insufficient_credits"] = has(*ISSUES[3][3])  # by its words alone: its status code is that of a rate limit
+    fits["rate_limited"] |= kind == "rate_limit"
+    struct = lambda name, severity, number: F.struct(name.alias("issue_code"), severity.alias("severity"), number.cast("string").alias("status_code"))
+    null = F.lit(None).cast("string")
+    out = F.when(said != "", struct(F.lit("access_error"), F.lit("failed"), code)).otherwise(struct(null, null, null))
+    for name, severity, number, _ in reversed(ISSUES):
+        out = F.when(fits[name], struct(F.lit(name), F.lit(severity), F.coalesce(code, F.lit(number)))).otherwise(out)
+    return out
+
+
+def retry(message: Column | str, code: Column | str, attempt: Column | str, on_4xx: bool = False) -> Column:
+    """(retry, delay, error_type) after the attempt, from 1: 5, 15, 45 ... up to 120 s after a rate limit, none after other 4xx codes, else 1, 2, 4 ... up to 16 s."""
+    n, c, x = text.col(attempt).cast("double"), text.col(code), F.lower(F.coalesce(text.col(message), F.lit("")))
+    limited = F.coalesce(c == 429, F.lit(False)) | x.rlike("|".join(RATE_WORDS))
+    struct = lambda again, delay, kind: F.struct(F.lit(again).alias("retry"), delay.alias("delay"), F.lit(kind).alias("error_type"))
+    return (
+        F.when(limited, struct(True, F.least(F.lit(120.0), 5 * F.pow(F.lit(3.0), n - 1)), "rate_limit"))
+        .when((c >= 400) & (c < 500), struct(on_4xx, F.lit(0.0), "invalid_response"))
+        .otherwise(struct(True, F.least(F.lit(16.0), F.pow(F.lit(2.0), n - 1)), "connectivity_error"))
+    )
 
 
-def issue(message: Column | str) -> Column:
-    x = text.col(message)
-    out = F.when(x.isNull(), F.lit(None).cast("string"))
-    for name, pattern in ISSUES:
-        out = out.when(x.rlike(pattern), name)
-    return out.otherwise("other")
-
-
-def is_transient(message: Column | str) -> Column:
-    return issue(message).isin("rate_limit", "timeout", "connection", "server_error")
-
-
-def wait_seconds(message: Column | str, attempt: Column | str) -> Column:
-    """Back-off: 5, 15, 45 ... up to 120 s after a rate limit, else 1, 2, 4 ... up to 16 s."""
-    n = text.col(attempt)
-    return F.when(issue(message) == "rate_limit", F.least(F.lit(120.0), 5 * F.pow(F.lit(3.0), n))).otherwise(F.least(F.lit(16.0), F.pow(F.lit(2.0), n)))
+def endpoint(requested: Column | str, first: Column | str, second: Column | str, names: tuple[str, str] = ("chat", "completions")) -> Column:
+    """The endpoint to use: the one asked for if it works, else the other if that does, else the one asked for; `auto` takes the first that works, or null."""
+    ask, a, b = F.coalesce(text.col(requested), F.lit("auto")), F.coalesce(text.col(first), F.lit(False)), F.coalesce(text.col(second), F.lit(False))
+    named = F.when(ask == names[0], F.when(a | ~b, names[0]).otherwise(names[1])).when(ask == names[1], F.when(b | ~a, names[1]).otherwise(names[0]))
+    return F.when(ask.isin(*names), named).otherwise(F.when(a, names[0]).when(b, names[1]))
+
+
+def probe_report(checks: DataFrame, by: list[str]) -> DataFrame:
+    """Checks (kind: mode, transport or check; name, status, tested, ok, repeats) of an endpoint to probe_status and the four risk flags.
+
+    Failed if access failed or no tested mode works; degraded if no tested transport works or any check is degraded or failed.
+    """
+    kind, name, s = F.col("kind"), F.col("name"), F.col("status")
+    tested = lambda k: F.coalesce(F.bool_or((kind == k) & F.col("tested")), F.lit(False))
+    works = lambda k, t=True: F.coalesce(F.bool_or((kind == k) & F.col("ok") & (F.col("tested") if t else F.lit(True))), F.lit(False))
+    any_of = lambda test: F.coalesce(F.bool_or((kind == "check") & test), F.lit(False))
+    failed = any_of((name == "access_readiness") & (s == "failed")) | (tested("mode") & ~works("mode"))
+    degraded = (tested("transport") & ~works("transport")) | any_of(s.isin("degraded", "failed"))
+    loops = any_of((name == "truncation") & (s == "degraded") & F.col("repeats"))
+    return checks.groupBy(*by).agg(
+        F.when(failed, "failed").when(degraded, "degraded").otherwise("passed").alias("probe_status"), loops.alias("truncation_risk"), (~works("transport", False)).alias("schema_unreliable"),
+        loops.alias("repetition_risk"), any_of((name == "multimodal") & (s == "failed")).alias("multimodal_unreliable"),
+    )
 
 
 def probe_status(checks: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from ..functions import jsons
 from ..functions.similarity import STRICT, USUAL, Thresholds, compare_typed, f1, ratio
 from ..functions.text import digits_only, normalize_freeform, normalize_string
 from .joins import align_fields
+from .ranking import quantiles
 
 
 @dataclass(frozen=True)
@@ -142,10 +144,20 @@ def document_score(rules: StructuredRules = StructuredRules()) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
-def _prepare(schema: dict, rules: StructuredRules):
-    """An Arrow UDF of (predicted, expected) JSON texts: normalized and aligned texts, validity, exactness, changes."""
-    schema = jsons.unwrap_schema(schema or {})
-    blank = not schema.get("properties")
+def _prepare(schema: dict | None, rules: StructuredRules):
+    """An Arrow UDF of (predicted, expected, schema) JSON texts: normalized and aligned texts, validity, exactness, changes. Without a schema for all, the rows' own are taken."""
+
+    seen: dict[str | None, tuple[dict, bool, str]] = {}
+
+    def known(text: str | None) -> tuple[dict, bool, str]:
+        if text in seen:
+            return seen[text]
+        own = jsons.unwrap_schema((json.loads(text) if text else {}) if schema is None else schema)
+        own = own if isinstance(own, dict) else {}
+        found = own, not own.get("properties"), jsons.fingerprint(own)
+        if len(seen) < 1024:
+            seen[text] = found
+        return found
 
     def align(p, e, path=""):
         if path in rules.unordered and isinstance(p, list) and isinstance(e, list):
@@ -160,33 +172,41 @@ def _prepare(schema: dict, rules: StructuredRules):
             return {k: align(v, e[k], f"{path}.{k}" if path else k) if k in e else v for k, v in p.items()}
         return p
 
-    @F.pandas_udf("predicted string, expected string, valid boolean, exact boolean, null_words int")
-    def run(p: pd.Series, e: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("predicted string, expected string, valid boolean, exact boolean, null_words int, date_words int, schema_fingerprint string")
+    def run(p: pd.Series, e: pd.Series, s: pd.Series) -> pd.DataFrame:
         rows = []
-        for a, b in zip(p, e, strict=True):
+        for a, b, text in zip(p, e, s, strict=True):
+            own, blank, mark = known(text)
             ok, x = jsons._parsed(a)
             _, y = jsons._parsed(b)
             found: list[str] = []
-            x, y = jsons.normalized(x, schema, True, "", found), jsons.normalized(y, schema, False)
+            x, y = jsons.normalized(x, own, True, "", found), jsons.normalized(y, own, False)
             x = align(x, y) if ok else x
-            good = ok and (isinstance(x, dict) if blank else jsons.valid(x, schema))
-            rows.append((json.dumps(x) if good else None, json.dumps(y), good, good and jsons.equal_values(x, y), len(found)))
-        return pd.DataFrame(rows, columns=["predicted", "expected", "valid", "exact", "null_words"])
+            good = ok and (isinstance(x, dict) if blank else jsons.valid(x, own))
+            rows.append((json.dumps(x) if good else None, json.dumps(y), good, good and jsons.equal_values(x, y), found.count("null"), found.count("date"), mark))
+        return pd.DataFrame(rows, columns=["predicted", "expected", "valid", "exact", "null_words", "date_words", "schema_fingerprint"])
 
     return run
 
 
-def score_samples(df: DataFrame, schema: dict, rules: StructuredRules = StructuredRules(), prediction: str = "prediction", expected: str = "expected", ident: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(samples, fields): normalize, align, validate, flatten, compare and roll up. Samples keep error, if there, as invalid; invalid ones score 0."""
+def score_samples(df: DataFrame, schema: dict | None, rules: StructuredRules = StructuredRules(), prediction: str = "prediction", expected: str = "expected", ident: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(samples, fields): normalize, align, validate, flatten, compare and roll up. Samples keep error, if there, as invalid; invalid ones score 0.
+
+    schema None: each row's own, JSON text in its column `schema`; fields then carry its fingerprint, so that diagnostics see whether there is one schema.
+    """
     error = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
-    ready = df.select(F.col(ident).alias("sample_id"), error.alias("error"), _prepare(schema, rules)(F.when(error.isNull(), F.col(prediction)), F.col(expected)).alias("s")).select("sample_id", "error", "s.*")
+    kind = F.col("error_type") if "error_type" in df.columns else F.lit(None).cast("string")
+    own = F.col("schema") if schema is None and "schema" in df.columns else F.lit(None).cast("string")
+    ready = df.select(F.col(ident).alias("sample_id"), error.alias("error"), kind.alias("error_type"), _prepare(schema, rules)(F.when(error.isNull(), F.col(prediction)), F.col(expected), own).alias("s")).select("sample_id", "error", "error_type", "s.*")
     good = ready.filter("valid")
     p, e = flattened(good, "sample_id", "predicted"), flattened(good, "sample_id", "expected")
     fields = compare_fields(p, e, rules)
+    if schema is None:
+        fields = fields.join(good.select("sample_id", "schema_fingerprint"), "sample_id")
     count = lambda d, name: d.groupBy("sample_id").agg(F.count("*").alias(name))
     whole = count(e, "n_expected").join(count(p, "n_predicted"), "sample_id", "full_outer").fillna(0) if rules.count_ignored else None
     rolled = sample_rollup(fields, rules, denominators=whole)
-    met = ready.select("sample_id", "error", "valid", "exact", "null_words").withColumnRenamed("exact", "exact_match").join(rolled, "sample_id", "left")
+    met = ready.select("sample_id", "error", "error_type", "valid", "exact", "null_words", "date_words", "schema_fingerprint").withColumnRenamed("exact", "exact_match").join(rolled, "sample_id", "left")
     scores = [n for n, t in rolled.dtypes if n != "sample_id" and t in ("double", "bigint")]
     met = met.fillna(0, scores).withColumn("schema_validity", F.col("valid").cast("double"))
     penalty = jsons.null_penalty("null_words", rules.penalty_each, rules.penalty_most)
@@ -194,22 +214,41 @@ def score_samples(df: DataFrame, schema: dict, rules: StructuredRules = Structur
     return met.withColumns({"extraction_quality_score": scaled(quality_score(rules)), "document_extraction_score": scaled(document_score(rules))}), fields
 
 
-def dataset_rollup(samples: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Validity, hallucination and exactness over all rows, F1 and the scores over valid ones, and what follows from them."""
-    ok, c = F.col("valid"), F.col
-    over = lambda m: F.coalesce(F.avg(F.when(ok, c(m))), F.lit(0.0))
-    var = lambda m: F.coalesce(F.var_samp(F.when(ok, c(m))), F.lit(0.0))
+#: Metrics of samples that a data set averages over its valid rows.
+AVERAGED = (
+    "field_f1_partial", "field_f1_strict", "field_precision_partial", "field_recall_partial", "field_precision_strict", "field_recall_strict", "type_accuracy", "extraction_quality_score",
+    "document_extraction_score", "critical_error_rate", "field_accuracy_score",
+)
+
+
+def dataset_rollup(samples: DataFrame, by: list[str] | None = None, rules: StructuredRules = StructuredRules()) -> DataFrame:
+    """Validity, hallucination, exactness and kinds of errors over all rows; F1 and the scores over valid ones (0 without any), and what follows from them.
+
+    A tier that no valid row has is null; without rows that have numbers, numeric precision is 1, and without imperfect ones their quality.
+    """
+    ok, c, have = F.col("valid"), F.col, set(samples.columns)
+    zero = F.lit(0.0)
+    over = lambda m, test=None: F.avg(F.when(ok if test is None else ok & test, c(m)))
+    kind = lambda k: F.avg((F.coalesce(c("error_type"), F.lit("")) == k).cast("double")) if "error_type" in have else zero
+    valid, imperfect = F.count_if(ok), ok & ~c("exact_match")
+    among = lambda found, none: F.when(valid == 0, zero).otherwise(F.coalesce(found, F.lit(none)))
+    spread = lambda m, at: [f(F.when(ok, c(m))).alias(f"{at}_{n}") for n, f in (("mean", F.avg), ("stdev", F.stddev_samp), ("min", F.min), ("max", F.max))]
     out = samples.groupBy(*(by or [])).agg(
-        F.count("*").alias("total_samples"), F.count_if(ok).alias("valid_samples"), F.avg(ok.cast("double")).alias("schema_validity_rate"), F.avg("hallucination_rate").alias("hallucination_rate"), F.avg(c("exact_match").cast("double")).alias("exact_match_rate"),
-        F.avg(c("error").isNull().cast("double")).alias("response_rate"),
-        *(over(m).alias(m) for m in ("field_f1_partial", "field_f1_strict", "extraction_quality_score", "document_extraction_score", "type_accuracy", "critical_error_rate")),
-        F.coalesce(F.avg(F.when(ok & (c("numeric_fields_total") > 0), c("numeric_precision_rate"))), F.lit(1.0)).alias("numeric_precision_rate"),
-        F.coalesce(F.avg(F.when(ok & (c("reliable_f1_partial") >= 0), c("reliable_f1_partial"))), F.lit(-1.0)).alias("reliable_f1_partial"),
-        F.coalesce(F.avg(F.when(ok & ~c("exact_match"), c("field_f1_partial"))), F.lit(1.0)).alias("imperfect_sample_quality"),
-        var("extraction_quality_score").alias("eqs_variance"), var("field_f1_partial").alias("f1_variance"), F.sum("null_words").alias("null_conversions"),
-        *(F.sum(F.when(ok, c(m))).alias(f"{m}_count") for m in ("exact", "partial", "incorrect", "missed", "spurious")),
+        F.count("*").alias("total_samples"), valid.alias("valid_samples"), F.count("error").alias("error_count"), F.coalesce(F.avg(c("error").isNotNull().cast("double")), zero).alias("error_rate"),
+        kind("connectivity_error").alias("connectivity_error_rate"), kind("invalid_response").alias("invalid_response_rate"),
+        F.avg(ok.cast("double")).alias("schema_validity_rate"), F.avg("hallucination_rate").alias("hallucination_rate"), F.avg(c("exact_match").cast("double")).alias("exact_match_rate"),
+        *(F.coalesce(over(m), zero).alias(m) for m in AVERAGED if m in have),
+        among(over("numeric_precision_rate", c("numeric_fields_total") > 0), 1.0).alias("numeric_precision_rate"),
+        *(F.coalesce(F.sum(F.when(ok, c(m))), F.lit(0)).alias(m) for m in ("numeric_fields_total", "numeric_fields_correct") if m in have),
+        *(over(m, c(m) >= 0).alias(m) for m in ("reliable_f1_partial", "freeform_f1_partial") if m in have),
+        among(F.avg(F.when(imperfect, c("extraction_quality_score"))), 1.0).alias("imperfect_sample_quality"), among(F.avg(F.when(imperfect, c("field_f1_partial"))), 1.0).alias("imperfect_sample_quality_f1"), F.count_if(imperfect).alias("imperfect_sample_count"),
+        *spread("extraction_quality_score", "eqs"), *spread("field_f1_partial", "f1"),
+        F.coalesce(F.avg(F.when(ok, jsons.null_penalty("null_words", rules.penalty_each, rules.penalty_most))), zero).alias("normalization_penalty"), F.sum("null_words").alias("null_string_conversions"),
+        *([F.sum("date_words").alias("date_format_conversions")] if "date_words" in have else []),
+        *(F.coalesce(F.sum(F.when(ok, c(m))), F.lit(0)).alias(f"{m}_count") for m in ("exact", "partial", "incorrect", "missed", "spurious")),
     )
-    return out.withColumn("overall_extraction_quality_score", c("extraction_quality_score") * c("schema_validity_rate"))
+    out = out.fillna(0.0, [f"{at}_{n}" for at in ("eqs", "f1") for n in ("mean", "stdev", "min", "max")])
+    return out.withColumns({"response_rate": 1 - c("connectivity_error_rate"), "overall_extraction_quality_score": c("extraction_quality_score") * (1 - c("invalid_response_rate"))})
 
 
 def match_distribution(fields: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -222,8 +261,14 @@ def match_distribution(fields: DataFrame, by: list[str] | None = None) -> DataFr
 
 def composite_stats(fields: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean, median, deviation and ends of the scores above 0; a single score has deviation 0."""
-    s = F.when(F.col("score") > 0, F.col("score"))
-    return fields.groupBy(*(by or [])).agg(F.count(s).alias("n"), F.coalesce(F.avg(s), F.lit(0.0)).alias("mean"), F.coalesce(F.median(s), F.lit(0.0)).alias("median"), F.coalesce(F.stddev_samp(s), F.lit(0.0)).alias("stdev"), F.coalesce(F.min(s), F.lit(0.0)).alias("min"), F.coalesce(F.max(s), F.lit(0.0)).alias("max"))
+    by = by or []
+    named = [F.col(b).alias(f"_g{i}") for i, b in enumerate(by)]
+    rows = fields.select(*named, F.when(F.col("score") > 0, F.col("score")).alias("_s"))
+    keys, zero = [f"_g{i}" for i in range(len(by))], F.lit(0.0)
+    spread = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.coalesce(F.avg("_s"), zero).alias("mean"), F.coalesce(F.stddev_samp("_s"), zero).alias("stdev"))
+    middle = quantiles(rows, "_s", (0.5,), keys or None)
+    met = middle.join(spread, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))) if keys else middle.join(F.broadcast(spread))  # one row
+    return met.select(*(F.col(k).alias(b) for k, b in zip(keys, by, strict=True)), "n", "mean", F.coalesce(F.get("q", F.lit(0)), zero).alias("median"), "stdev", F.coalesce("min", zero).alias("min"), F.coalesce("max", zero).alias("max"))
 
 
 def error_kind() -> Column:

@@ -257,12 +257,14 @@ def json_flatten(spark, d):
 
 
 @query("""
-SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dashed, strftime(o_orderdate, '%Y-%m-%d') AS slashed, '31-02-2020' AS no_day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' AS at, '25:00' AS no_time FROM orders""")
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS dashed, strftime(o_orderdate, '%Y-%m-%d') AS slashed, '31-02-2020' AS no_day, lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':05' AS at, '25:00' AS no_time,
+  strftime(o_orderdate, '%Y-%m-%d') AS padded, strftime(o_orderdate, '%Y-%m-%d') AS iso, '09:05' AS padded_at, ' 31-02-2020 ' AS padded_no_day FROM orders""")
 def date_canonicalize(spark, d):
     o = t(spark, d, "orders")
     f = lambda p: jsons.iso_date(F.date_format("o_orderdate", p))
     return o.select("o_orderkey", f("dd-MM-yyyy").alias("dashed"), f("dd/MM/yyyy").alias("slashed"), jsons.iso_date(F.lit("31-02-2020")).alias("no_day"),
-                    jsons.padded_time(F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":05"))).alias("at"), jsons.padded_time(F.lit("25:00")).alias("no_time"))
+                    jsons.padded_time(F.concat((F.col("o_orderkey") % 24).cast("string"), F.lit(":05"))).alias("at"), jsons.padded_time(F.lit("25:00")).alias("no_time"),
+                    f("' 'dd-MM-yyyy'  '").alias("padded"), f("' 'yyyy-MM-dd").alias("iso"), jsons.padded_time(F.lit(" 9:05\t")).alias("padded_at"), jsons.iso_date(F.lit(" 31-02-2020 ")).alias("padded_no_day"))
 
 
 _SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 3}}}
@@ -356,7 +358,13 @@ def field_diagnostics(spark, d):
     return out.select("field", "expected_count", "exact_count", "missed_count", "spurious_count", r6("exact_accuracy", "exact_accuracy"), r6("error_rate", "error_rate"), F.col("examples")[0].sample_id.alias("first_error"))
 
 
-@query()
+@query("""
+WITH k AS (SELECT c_custkey AS sample_id, CASE WHEN c_custkey % 9 = 0 THEN 'none' WHEN c_custkey % 4 = 0 THEN 'part' ELSE 'full' END AS kind FROM customer),
+f AS (SELECT *, CASE kind WHEN 'full' THEN 3 WHEN 'part' THEN 1 ELSE 0 END AS exact, CASE kind WHEN 'full' THEN 3 WHEN 'part' THEN 2 ELSE 0 END AS predicted, 3 AS expected, CASE kind WHEN 'full' THEN 1.0 ELSE 0.0 END AS numbers,
+  CASE kind WHEN 'part' THEN 1 ELSE 0 END AS null_words FROM k),
+s AS (SELECT *, CASE WHEN exact > 0 THEN 2.0 * (exact / predicted) * (exact / expected) / (exact / predicted + exact / expected) ELSE 0.0 END AS f1 FROM f)
+SELECT sample_id, kind <> 'none' AS valid, kind = 'full' AS exact_match, null_words::INT AS null_words, round(f1, 6) AS f1,
+  CASE WHEN kind = 'none' THEN 0.0 ELSE round(greatest(0.0, 0.15 + 0.70 * f1 + 0.15 - 0.02 * null_words), 6) END AS eqs, CASE WHEN kind = 'none' THEN 0.0 ELSE round(greatest(0.0, 0.50 * numbers + 0.35 * f1 + 0.15 - 0.02 * null_words), 6) END AS des FROM s""")
 def structured_pipeline(spark, d):
     """From JSON texts to sample scores: normalize, align, validate, flatten, compare, roll up."""
     c = t(spark, d, "customer")
@@ -598,13 +606,56 @@ def skipped_subtasks(spark, d):
     return status.subtask_statuses(m, skips).select("subtask", "status", "reason")
 
 
+SAID = {0: "Error code: 401", 1: "Your key: UNAUTHORIZED", 2: "status code 403", 3: "model gpt not found", 4: "insufficient_quota; error code: 429", 5: "error code: 429", 6: "Rate limit reached", 7: "Connection reset", 8: "", 9: "status code: 503"}
+
+
 @query("""
-SELECT event_id, CASE event_type WHEN 'error' THEN 'rate_limit' WHEN 'view' THEN 'timeout' WHEN 'click' THEN 'server_error' ELSE 'other' END AS issue, event_type IN ('error', 'view', 'click') AS transient,
-  CASE WHEN event_type = 'error' THEN least(120.0, 5 * power(3, event_id % 4)) ELSE least(16.0, power(2, event_id % 4)) END AS wait FROM events""")
+WITH e AS (SELECT event_id, user_id, event_id % 10 AS k FROM events)
+SELECT event_id, CASE WHEN k IN (0, 1) THEN 'invalid_api_key' WHEN k = 2 THEN 'forbidden' WHEN k = 3 THEN 'model_not_found' WHEN k = 4 THEN 'insufficient_credits' WHEN k IN (5, 6) OR (user_id % 2 = 0 AND k IN (7, 8, 9)) THEN 'rate_limited'
+    WHEN k IN (7, 9) THEN 'access_error' END AS issue_code,
+  CASE WHEN k IN (5, 6) OR (user_id % 2 = 0 AND k IN (7, 8, 9)) THEN 'degraded' WHEN k <> 8 THEN 'failed' END AS severity,
+  CASE WHEN k IN (0, 1) THEN '401' WHEN k = 2 THEN '403' WHEN k = 3 THEN '404' WHEN k IN (4, 5, 6) THEN '429' WHEN k = 9 THEN '503' WHEN user_id % 2 = 0 THEN '429' END AS status_code FROM e""")
 def error_issues(spark, d):
     e = t(spark, d, "events")
-    said = F.when(F.col("event_type") == "error", "HTTP 429 slow down").when(F.col("event_type") == "view", "Request timed out").when(F.col("event_type") == "click", "503 from upstream").otherwise("odd")
-    return e.select("event_id", status.issue(said).alias("issue"), status.is_transient(said).alias("transient"), status.wait_seconds(said, F.col("event_id") % 4).alias("wait"))
+    said = F.element_at(F.create_map(*(x for k, m in SAID.items() for x in (F.lit(k), F.lit(m)))), (F.col("event_id") % 10).cast("int"))
+    return e.select("event_id", status.issue(said, F.when(F.col("user_id") % 2 == 0, "rate_limit")).alias("i")).select("event_id", "i.*")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 6 AS k, 1 + event_id % 5 AS n FROM events)
+SELECT event_id, k <> 1 AS retry, CASE WHEN k IN (0, 2, 5) THEN least(120.0, 5 * power(3, n - 1)) WHEN k = 1 THEN 0.0 ELSE least(16.0, power(2, n - 1)) END AS delay,
+  CASE WHEN k IN (0, 2, 5) THEN 'rate_limit' WHEN k = 1 THEN 'invalid_response' ELSE 'connectivity_error' END AS error_type FROM e""")
+def retry_decisions(spark, d):
+    k = F.col("event_id") % 6
+    code = F.when(k == 0, 429).when(k == 1, 404).when(k == 3, 502).when(k == 5, 400)
+    said = F.when(k == 2, "Rate Limit").when(k == 5, "got 429 inside").otherwise("timed out")
+    return t(spark, d, "events").select("event_id", status.retry(said, code, 1 + F.col("event_id") % 5).alias("r")).select("event_id", "r.*")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 4 IN (1, 3) AS a, event_id % 4 >= 2 AS b FROM events)
+SELECT event_id, CASE WHEN a THEN 'chat' WHEN b THEN 'completions' END AS auto, CASE WHEN a OR NOT b THEN 'chat' ELSE 'completions' END AS chat, CASE WHEN b OR NOT a THEN 'completions' ELSE 'chat' END AS completions FROM e""")
+def endpoint_choice(spark, d):
+    a, b = (F.col("event_id") % 4).isin(1, 3), F.col("event_id") % 4 >= 2
+    return t(spark, d, "events").select("event_id", *(status.endpoint(F.lit(ask), a, b).alias(ask) for ask in ("auto", "chat", "completions")))
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS k, n_nationkey % 5 = 0 AS no_access, n_nationkey % 3 = 0 AS chat, n_nationkey % 7 <> 0 AS schema_ok, n_nationkey % 2 = 0 AS loops FROM nation)
+SELECT k, CASE WHEN no_access OR NOT chat THEN 'failed' WHEN NOT schema_ok OR loops THEN 'degraded' ELSE 'passed' END AS probe_status, loops AS truncation_risk, NOT schema_ok AS schema_unreliable, loops AS repetition_risk, false AS multimodal_unreliable FROM c""")
+def probe_reports(spark, d):
+    k = F.col("n_nationkey")
+    check = lambda kind, name, s, tested, ok, loops: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), s.alias("status"), F.lit(tested).alias("tested"), ok.alias("ok"), loops.alias("repeats"))
+    no, good = F.lit(False), F.lit("passed")
+    rows = [check("check", "access_readiness", F.when(k % 5 == 0, "failed").otherwise("passed"), True, k % 5 != 0, no), check("mode", "chat", good, True, k % 3 == 0, no), check("mode", "completions", good, False, no, no),
+            check("transport", "structured_outputs", good, True, k % 7 != 0, no), check("transport", "response_format", good, True, no, no), check("check", "truncation", F.when(k % 2 == 0, "degraded").otherwise("passed"), True, F.lit(True), k % 2 == 0)]
+    return status.probe_report(t(spark, d, "nation").select(k.alias("k"), F.inline(F.array(*rows))), ["k"])
+
+
+@query(_STATUS + " SELECT user_id, g FROM s WHERE user_id % 2 = 1 OR status NOT IN ('passed', 'degraded', 'skipped', 'no_samples')")
+def unfinished_tasks(spark, d):
+    s = user_status(spark, d)
+    return status.unfinished(s.select("user_id", "g"), s.filter("user_id % 2 = 0"), "user_id")
 
 
 # Leaderboards
@@ -642,6 +693,48 @@ def processor_scores(spark, d):
     return leaderboard.task_scores(rows, [leaderboard.Category("es", "es", divide_by=100.0)], ["accuracy", "mse"]).select("model", "task", "metric", r6("score", "score"))
 
 
+@query(_NATIONS + " SELECT n_regionkey, round(sum(accuracy * v) FILTER (v > 0) / sum(v) FILTER (v > 0 AND accuracy IS NOT NULL), 6) AS accuracy FROM x GROUP BY n_regionkey")
+def weighted_scores(spark, d):
+    return leaderboard.weighted_score(nation_metrics(spark, d), "accuracy", ["n_regionkey"]).select("n_regionkey", r6("accuracy", "accuracy"))
+
+
+@query(_MARKET + " SELECT model, 'es' AS category, round(avg(score), 4) AS score FROM s GROUP BY model")
+def category_means(spark, d):
+    return leaderboard.category_scores(market_scores(spark, d)).withColumn("score", F.round("score", 4))
+
+
+@query("""
+WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS model, count(*) AS n, avg(c_acctbal) / 10000 AS eqs FROM customer GROUP BY ALL),
+m AS (SELECT model, eqs, CASE WHEN n % 2 = 0 THEN eqs / 2 ELSE eqs END AS main, (eqs * n + 1.0 * 2) / (n + 2) AS composite FROM c)
+SELECT model, unnest(['extraction_quality_score', 'composite_score', 'schema_validity', 'field_f1_partial', 'hallucination_rate']) AS task, unnest(['eqs', 'composite_mean', 'validity_rate', 'f1', 'hallucination_rate']) AS metric,
+  round(unnest([main, composite, 0.5, 0.0, 0.25]), 6) AS score FROM m""")
+def structured_leaderboard(spark, d):
+    c = t(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("model")).agg(F.count("*").alias("n"), (F.avg("c_acctbal") / 10000).alias("eqs"))
+    known = F.create_map(F.lit("extraction_quality_score"), F.col("eqs"), F.lit("schema_validity_rate"), F.lit(0.5), F.lit("hallucination_rate"), F.lit(0.25))
+    full = F.map_concat(known, F.create_map(F.lit("overall_extraction_quality_score"), F.col("eqs") / 2))
+    part = lambda mean, n: F.struct(mean.cast("double").alias("mean"), n.cast("long").alias("valid_samples"))
+    subtasks = F.array(part(F.col("eqs"), F.col("n")), part(F.lit(1.0), F.lit(2)), part(F.lit(9.0), F.lit(0)), part(F.lit(None), F.lit(5)))
+    runs = c.select("model", F.when(F.col("n") % 2 == 0, full).otherwise(known).alias("metrics"), subtasks.alias("subtasks"))
+    return leaderboard.processor("structured_extraction_results_processor")(runs).withColumn("score", F.round("score", 6))
+
+
+@query("""
+WITH r AS (SELECT CAST(n_regionkey AS VARCHAR) AS model, n_name AS task, n_nationkey / 20.0 AS wer, n_nationkey / 50.0 AS cer FROM nation WHERE n_nationkey % 4 <> 1),
+s AS (SELECT *, round(greatest(0.0, 1 - wer), 4) AS score FROM r)
+SELECT model, task, score, round(wer, 4) AS wer, round(cer, 4) AS cer FROM s UNION ALL SELECT model, 'overall', round(avg(score), 4), NULL, NULL FROM s GROUP BY model""")
+def speech_leaderboard(spark, d):
+    k = F.col("n_nationkey")
+    rows = t(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("model"), F.col("n_name").alias("task"), F.when(k % 4 != 1, k / 20.0).alias("wer"), (k / 50.0).alias("cer"))
+    return leaderboard.speech_scores(rows).drop("metric")
+
+
+@query("SELECT event_id, event_type || '__' || user_id AS folder, event_type = 'error' AND false OR event_type = 'view' AS copied FROM events")
+def copied_folders(spark, d):
+    e = t(spark, d, "events").withColumn("folder", F.concat_ws("__", "event_type", "user_id"))
+    named = F.when(F.col("event_type") == "view", F.concat(F.lit("qwen__"), F.col("folder"))).otherwise(F.regexp_replace("folder", "__", "_google_"))
+    return e.select("event_id", "folder", leaderboard.copied_folder(named).alias("copied"))
+
+
 # Tasks from samples to aggregates
 
 
@@ -657,3 +750,223 @@ def classification_task(spark, d):
     predictions = o.filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"label": '), said, F.lit("}")).alias("prediction"))
     found = tasks.evaluate(tasks.classification("status", {"F": "filled", "O": "open", "P": "partial"}), samples, tasks.from_table(predictions)).metrics
     return found.withColumns({c: F.round(c, 6) for c in ("accuracy", "error_rate")})
+
+
+# Mapping, filters and functions of single rows
+
+
+@query("""
+SELECT 'mc' AS kind, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'exam_' || (c_custkey - 1) END AS id, c_name AS text, c_mktsegment AS expected FROM customer
+UNION ALL SELECT 'freeform', CAST(c_custkey AS VARCHAR), c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 <> 0
+UNION ALL SELECT 'translation', CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END FROM customer""")
+def task_projections(spark, d):
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer")
+    mc = mapping.choice_rows(c.select((k - 1).alias("row_idx"), F.when(k % 3 == 0, k).alias("id"), F.col("c_name").alias("text"), F.col("c_mktsegment").alias("expected")), "exam")
+    some = c.select(k.alias("id"), F.when(k % 5 != 0, F.col("c_name")).alias("text"), F.when(k % 7 != 0, F.col("c_mktsegment")).alias("expected"))
+    two = mapping.translation_rows(some.withColumnsRenamed({"text": "source_text", "expected": "target_text"}))
+    kinds = {"mc": mc, "freeform": mapping.freeform_rows(some), "translation": two.withColumn("id", F.col("id").cast("string"))}
+    parts = [x.select(F.lit(n).alias("kind"), "id", "text", "expected") for n, x in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_TWO_SCHEMAS = ({"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}, {"type": "object", "properties": {"n": {"type": "string"}, "m": {"type": "string"}}, "required": ["m"]})
+
+
+@query("""
+SELECT o_orderkey AS sample_id, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS valid, o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 AS exact_match, o_orderkey % 2 AS which FROM orders WHERE o_orderkey % 11 <> 0""")
+def schema_by_row(spark, d):
+    """Odd orders are to have texts, and a field m that every third one has; even ones numbers."""
+    import json
+
+    k = F.col("o_orderkey")
+    body = F.when(k % 2 == 0, F.to_json(F.struct(k.alias("n")))).when(k % 3 == 0, F.to_json(F.struct(k.cast("string").alias("n"), F.col("o_orderstatus").alias("m")))).otherwise(F.to_json(F.struct(k.cast("string").alias("n"))))
+    schema = F.when(k % 11 != 0, F.when(k % 2 == 0, json.dumps(_TWO_SCHEMAS[0])).otherwise(json.dumps(_TWO_SCHEMAS[1])))
+    rows = mapping.structured_rows(t(spark, d, "orders").select(k.alias("id"), F.col("o_orderstatus").alias("text"), body.alias("expected"), schema.alias("schema")))
+    samples, _ = structured.score_samples(rows.withColumn("prediction", F.col("expected")), None)
+    return samples.select("sample_id", "valid", "exact_match", F.when(F.col("schema_fingerprint") == jsons.fingerprint(_TWO_SCHEMAS[0]), 0).otherwise(1).cast("long").alias("which"))
+
+
+@query("""
+SELECT c_custkey, '{"model":"m","n":' || c_custkey || ',"text":"' || c_mktsegment || '","said":"<' || c_mktsegment || '> ' || c_custkey || '","raw":"' || base64(encode(c_mktsegment)) || '","list":["' || c_nationkey || '",true,null]}' AS body FROM customer""")
+def body_template(spark, d):
+    template = {"model": "m", "n": "{{k}}", "text": "{{seg}}", "said": "<{{seg}}> {{k}}", "raw": "{{seg|base64}}", "list": ["{{ nation | json }}", True, None]}
+    return t(spark, d, "customer").select("c_custkey", jsons.render_body(template, k="c_custkey", seg="c_mktsegment", nation="c_nationkey").alias("body"))
+
+
+@query("""
+SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS tags, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey END AS nation FROM customer""")
+def filled_objects(spark, d):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("where", T.StructType([T.StructField("nation", T.IntegerType())]))])
+    k = F.col("c_custkey")
+    body = F.to_json(F.struct(F.col("c_name").alias("name"), F.lit("x").alias("unknown"), F.when(k % 2 == 0, F.array("c_mktsegment")).alias("tags"), F.when(k % 3 == 0, F.struct(F.col("c_nationkey").alias("nation"), k.alias("more"))).alias("where")))
+    v = F.col("v")
+    return t(spark, d, "customer").select("c_custkey", mapping.filled(body, schema).alias("v")).select("c_custkey", v["name"].alias("name"), F.size(v["tags"]).alias("tags"), v["where"]["nation"].alias("nation"))
+
+
+@query("""
+WITH x AS (SELECT c_custkey AS id, c_name AS a, c_mktsegment AS b FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0)
+SELECT id, a AS source_text, b AS target_text, 'en_es' AS direction, 'en_es' AS language_pair FROM x UNION ALL SELECT id, b, a, 'es_en', 'en_es' FROM x""")
+def both_directions(spark, d):
+    k = F.col("c_custkey")
+    x = t(spark, d, "customer").select(k.alias("id"), F.when(k % 3 == 0, " ").otherwise(F.col("c_name")).alias("a"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("b"))
+    return joins.bidirectional(x, "a", "b", "en", "es").select("id", "source_text", "target_text", "direction", "language_pair")
+
+
+@query("SELECT c_custkey - 1 AS row_idx, 'r' || c_custkey AS record_id FROM customer WHERE c_custkey % 10 = 0 OR (c_custkey - 1) % 7 = 0")
+def record_rows(spark, d):
+    k = F.col("c_custkey")
+    rows = t(spark, d, "customer").select((k - 1).alias("row_idx"), F.concat(F.lit("r"), k.cast("string")).alias("record_id"))
+    named = rows.filter("(row_idx + 1) % 10 = 0").select("record_id", F.lit("sample_000001").alias("sample_id"))
+    placed = rows.filter("row_idx % 7 = 0").select(F.lit(None).cast("string").alias("record_id"), F.format_string("sample_%06d", "row_idx").alias("sample_id"))
+    return joins.by_record(named.unionByName(placed).unionByName(placed), rows)
+
+
+@query("""
+SELECT p_partkey AS stem, '/' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.png' ELSE '.jpg' END AS path FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""")
+def file_choice(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("stem"))
+    file = lambda x, ext: x.select("stem", F.lit(ext).alias("ext"), F.concat(F.lit("/"), F.col("stem").cast("string"), F.lit(f".{ext}")).alias("path"))
+    files = file(p.filter("stem % 2 = 0"), "png").unionByName(file(p.filter("stem % 3 = 0"), "jpg")).unionByName(file(p, "txt"))
+    return joins.with_listing(p, files, priority=["png", "jpg"])
+
+
+@query(r"""
+SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s]+', ' ', 'g'))) AS transcript, md5(strip_accents(trim(regexp_replace(lower(text), '[\s]+', ' ', 'g')))) AS plain, md5(text) AS as_it_is FROM documents""")
+def transcripts(spark, d):
+    md5 = lambda c, n: F.md5(c.cast("binary")).alias(n)
+    return t(spark, d, "documents").select("doc_id", md5(text.normalize_transcript("text"), "transcript"), md5(text.normalize_string("text", latin_only=True), "plain"), md5(text.normalize_string("text", True, False, False), "as_it_is"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[\s]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat('go on ', 9) ELSE text END AS text FROM documents)),
+g AS (SELECT doc_id, ws[i] || ' ' || ws[i + 1] AS p, count(*) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) GROUP BY ALL),
+m AS (SELECT doc_id, max(n) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, len(ws) >= 12 AND coalesce(m.n, 0) >= 0.5 * (len(ws) - 1) AS looped FROM w LEFT JOIN m USING (doc_id)""")
+def bigram_loops(spark, d):
+    said = F.when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("go on "), F.lit(9))).otherwise(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", text.bigram_repetition(said).alias("looped"))
+
+
+_SCHEMAS = ({"type": "object", "properties": {"b": {"type": "string"}, "a": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "number"}}, "required": ["x"]}}}, "required": ["b"]}, {"properties": {"o": {"type": "object", "properties": {"p": {"type": "string"}}}}}, {})
+
+
+@query("""
+WITH s(n, j, total_fields, required_fields, max_depth, array_fields, nested_objects) AS (VALUES
+  (0, '{"properties": {"a": {"items": {"properties": {"x": {"type": "number"}}, "required": ["x"], "type": "object"}, "type": "array"}, "b": {"type": "string"}}, "required": ["b"], "type": "object"}', 3, 2, 1, 1, 0),
+  (1, '{"properties": {"o": {"properties": {"p": {"type": "string"}}, "type": "object"}}}', 2, 0, 1, 0, 1), (2, '{}', 0, 0, 0, 0, 0))
+SELECT n_nationkey, left(sha1(j), 12) AS fingerprint, md5(j) AS hash, '_adhoc_structured_' || left(md5(j), 8) AS name, total_fields, required_fields, max_depth, array_fields, nested_objects FROM nation JOIN s ON n = n_nationkey % 3""")
+def schema_names(spark, d):
+    """Names and sizes of schemas, which are the driver's, joined to the rows that have them as literals."""
+    facts = [{"fingerprint": jsons.fingerprint(x), "hash": jsons.config_hash(x), "name": jsons.adhoc_name("structured", x), **jsons.complexity(x)} for x in _SCHEMAS]
+    pick = lambda name: F.element_at(F.array(*(F.lit(f[name]) for f in facts)), F.col("n_nationkey") % 3 + 1).alias(name)
+    return t(spark, d, "nation").select("n_nationkey", *map(pick, facts[0]))
+
+
+@query(r"""
+WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'items[' || p_partkey || '].name' WHEN 1 THEN 'items.name' WHEN 2 THEN 'meta.' || p_type ELSE 'total' END AS field FROM part)
+SELECT p_partkey, field, regexp_matches(field, '^items\[\d+\]\.name$') OR regexp_matches(field, '^meta\..*$') AS ignored, CASE WHEN field = 'total' THEN 'reliable' WHEN regexp_matches(field, '^items') THEN 'freeform' ELSE 'unclassified' END AS tier FROM x""")
+def field_patterns(spark, d):
+    k = F.col("p_partkey") % 4
+    x = t(spark, d, "part").select("p_partkey", F.when(k == 0, F.concat(F.lit("items["), F.col("p_partkey").cast("string"), F.lit("].name"))).when(k == 1, "items.name").when(k == 2, F.concat(F.lit("meta."), F.col("p_type"))).otherwise("total").alias("field"))
+    rules = structured.StructuredRules(ignored=("items[].name", "meta.*"), reliable=("total",), freeform=("items*",))
+    return x.select("p_partkey", "field", structured.matches_any(F.col("field"), rules.ignored).alias("ignored"), structured.tier(F.col("field"), rules).alias("tier"))
+
+
+@query(_FIELDS + " SELECT k AS sample_id, field FROM m WHERE field NOT IN ('segment', 'extra')")
+def ignored_fields(spark, d):
+    return structured.compare_fields(*customer_fields(spark, d), structured.StructuredRules(ignored=("seg*", "extra"))).select("sample_id", "field")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT -o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey + 100000000, o_orderstatus FROM orders")
+def split_rows(spark, d):
+    """By a column, by a flag, and all rows where no row is of the split."""
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    named = mapping.with_split(o.withColumn("split", F.when(k % 3 == 0, "TEST").otherwise("train")), "test").drop("split")
+    flagged = mapping.with_split(o.withColumn("is_test", k % 5 == 0), "test").select((-k).alias("o_orderkey"), "o_orderstatus")
+    every = mapping.with_split(o.withColumn("subset", F.lit("dev")), "test").select((k + 100_000_000).alias("o_orderkey"), "o_orderstatus")
+    return named.unionByName(flagged).unionByName(every)
+
+
+# Rollups of data sets and runs
+
+
+def extraction_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Sample scores from order columns: invalid ones, errors of both kinds, exact ones, and ones without numbers or tiers."""
+    k = F.col("o_orderkey")
+    share = lambda n: ((k % n) / F.lit(float(n)))
+    o = t(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("g"), k.alias("sample_id"), (k % 5 != 0).alias("valid"), F.when(k % 10 == 0, "e").alias("error"), F.when(k % 20 == 0, "connectivity_error").when(k % 10 == 0, "invalid_response").alias("error_type"),
+        (k % 3 == 0).alias("exact_match"), share(4).alias("hallucination_rate"), share(7).alias("field_f1_partial"), share(8).alias("field_f1_strict"), share(9).alias("extraction_quality_score"), share(11).alias("document_extraction_score"),
+        share(13).alias("type_accuracy"), share(6).alias("critical_error_rate"), (k % 2).alias("numeric_fields_total"), share(16).alias("numeric_precision_rate"), F.when(k % 3 == 1, -1.0).otherwise(share(32)).alias("reliable_f1_partial"), (k % 4).cast("int").alias("null_words"),
+        *((k % n).alias(m) for m, n in (("exact", 5), ("partial", 3), ("incorrect", 2), ("missed", 4), ("spurious", 7))),
+    )
+    return o
+
+
+@query("""
+WITH s AS (SELECT o_orderstatus AS g, o_orderkey AS k, o_orderkey % 5 <> 0 AS ok FROM orders)
+SELECT g, count(*) AS total_samples, count(*) FILTER (ok) AS valid_samples, count(*) FILTER (k % 10 = 0) AS error_count, round(count(*) FILTER (k % 20 = 0) / count(*), 6) AS connectivity_error_rate, round(1 - count(*) FILTER (k % 20 = 0) / count(*), 6) AS response_rate,
+  round(avg((k % 4) / 4.0), 6) AS hallucination_rate, round(avg(CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS exact_match_rate, round(avg((k % 7) / 7.0) FILTER (ok), 6) AS field_f1_partial, round(avg((k % 9) / 9.0) FILTER (ok), 6) AS extraction_quality_score,
+  round(avg((k % 9) / 9.0) FILTER (ok) * (1 - count(*) FILTER (k % 10 = 0 AND k % 20 <> 0) / count(*)), 6) AS overall_extraction_quality_score, round(coalesce(avg((k % 16) / 16.0) FILTER (ok AND k % 2 = 1), 1.0), 6) AS numeric_precision_rate,
+  round(avg((k % 32) / 32.0) FILTER (ok AND k % 3 <> 1), 6) AS reliable_f1_partial, round(avg((k % 9) / 9.0) FILTER (ok AND k % 3 <> 0), 6) AS imperfect_sample_quality, round(avg((k % 7) / 7.0) FILTER (ok AND k % 3 <> 0), 6) AS imperfect_sample_quality_f1,
+  count(*) FILTER (ok AND k % 3 <> 0) AS imperfect_sample_count, round(stddev_samp((k % 9) / 9.0) FILTER (ok), 6) AS eqs_stdev, round(max((k % 7) / 7.0) FILTER (ok), 6) AS f1_max, round(avg(0.02 * (k % 4)) FILTER (ok), 6) AS normalization_penalty,
+  sum(k % 4)::BIGINT AS null_string_conversions, sum(k % 7) FILTER (ok)::BIGINT AS spurious_count FROM s GROUP BY g""")
+def dataset_rollup(spark, d):
+    out = structured.dataset_rollup(extraction_samples(spark, d), ["g"])
+    rounded = "connectivity_error_rate response_rate hallucination_rate exact_match_rate field_f1_partial extraction_quality_score overall_extraction_quality_score numeric_precision_rate reliable_f1_partial imperfect_sample_quality imperfect_sample_quality_f1 eqs_stdev f1_max normalization_penalty".split()
+    whole = ["total_samples", "valid_samples", "error_count", "imperfect_sample_count", "null_string_conversions", "spurious_count"]
+    return out.select("g", *whole, *(r6(c, c) for c in rounded))
+
+
+@query(_FIELDS + """, r AS (SELECT CASE WHEN field = 'name' THEN 'rows[*].name' ELSE field END AS f, match_type FROM m),
+a AS (SELECT f, count(*) FILTER (match_type <> 'spurious') AS n, count(*) FILTER (match_type = 'exact') AS x, count(*) FILTER (match_type = 'spurious') AS sp FROM r GROUP BY f),
+b AS (SELECT f, n, sp, coalesce(x / nullif(n, 0), 0) AS acc FROM a)
+SELECT 'worst' AS list, f AS field, n AS expected_count, sp AS spurious_count, CASE WHEN acc >= 0.99 THEN 'excellent' WHEN acc >= 0.8 THEN 'good' WHEN acc >= 0.6 THEN 'fair' ELSE 'poor' END AS band FROM (SELECT * FROM b WHERE n > 0 ORDER BY acc, n DESC, f LIMIT 2)
+UNION ALL SELECT 'spurious', f, n, sp, CASE WHEN acc >= 0.99 THEN 'excellent' WHEN acc >= 0.8 THEN 'good' WHEN acc >= 0.6 THEN 'fair' ELSE 'poor' END FROM (SELECT * FROM b WHERE sp > 0 ORDER BY sp DESC, f LIMIT 5)""")
+def field_lists(spark, d):
+    """Indexes of arrays are one field; the worst two fields, and those that are made up."""
+    fields = structured.compare_fields(*customer_fields(spark, d), latin_only=True)
+    indexed = fields.withColumn("field", F.when(F.col("field") == "name", F.concat(F.lit("rows["), (F.col("sample_id") % 3).cast("string"), F.lit("].name"))).otherwise(F.col("field")))
+    out = structured.field_diagnostics(indexed, collapse_indexes=True, examples=1)
+    shown = lambda name, x: x.select(F.lit(name).alias("list"), "field", "expected_count", "spurious_count", "band")
+    return shown("worst", structured.worst_fields(out, 2)).unionByName(shown("spurious", structured.hallucinated_fields(out, 5)))
+
+
+@query("""
+WITH c AS (SELECT user_id % 10 AS task, event_type AS diagnostic_class, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id % 10) AS run FROM events GROUP BY ALL)
+SELECT diagnostic_class, sum(n)::BIGINT AS count, max(e.total) AS run_samples, round(sum(n) / max(e.total), 6) AS rate FROM c, (SELECT count(*) AS total FROM events) e GROUP BY diagnostic_class""")
+def run_diagnostics(spark, d):
+    e = t(spark, d, "events").select((F.col("user_id") % 10).alias("task"), F.col("event_type").alias("diagnostic_class"))
+    return aggregates.run_diagnostics(aggregates.class_rates(e, by=["task"]))
+
+
+@query("""
+WITH o AS (SELECT l_linenumber, l_orderkey, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'F')::DOUBLE AS tp, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'F')::DOUBLE AS fp, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'F')::DOUBLE AS fn FROM lineitem GROUP BY ALL),
+s AS (SELECT l_linenumber AS g, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + fp + fn) END AS iou, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM o)
+SELECT g, count(*) AS total_samples, round(avg(iou), 6) AS iou, round(avg(f1), 6) AS score, round(avg(CASE WHEN iou >= 0.8 THEN 1.0 ELSE 0.0 END), 6) AS acceptable_rate FROM s GROUP BY g""")
+def mask_rollup(spark, d):
+    p, e = F.col("l_returnflag") == "R", F.col("l_linestatus") == "F"
+    c = t(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("g"), "l_orderkey").agg(F.count_if(p & e).alias("tp"), F.count_if(p & ~e).alias("fp"), F.count_if(~p & e).alias("fn"), F.count_if(~p & ~e).alias("tn"))
+    rows = c.select("g", *(v.alias(k) for k, v in media.mask_scores("tp", "fp", "fn", "tn").items()))
+    return aggregates.mask_aggregate(rows, ["g"]).select("g", "total_samples", r6("iou", "iou"), r6("score", "score"), r6("acceptable_rate", "acceptable_rate"))
+
+
+@query("""
+WITH c AS (SELECT count(*) FILTER (event_type = 'click') AS zeta, count(*) FILTER (event_type <> 'click') AS beta FROM events)
+SELECT CASE WHEN beta > zeta THEN 'beta' WHEN zeta > beta THEN 'zeta' ELSE 'beta' END AS by_count, 'accuracy' AS by_name FROM c""")
+def run_metric(spark, d):
+    e = t(spark, d, "events").select(F.when(F.col("event_type") == "click", F.col("value")).alias("zeta"), F.when(F.col("event_type") != "click", F.col("value")).alias("beta"), F.lit("x").alias("sample_id"))
+    named = e.withColumns({"accuracy": F.lit(0.5), "exact_match": F.lit(float("nan")), "field_f1_partial": F.lit(None).cast("double")})
+    return spark.range(1).select(F.lit(ranking.run_metric(e)).alias("by_count"), F.lit(ranking.run_metric(named)).alias("by_name"))
+
+
+@query("""
+SELECT count(*) AS samples, 2.5::DOUBLE AS duration_s, count(*) / 2.5::DOUBLE AS samples_per_s, (SELECT string_agg(w, ',' ORDER BY w) FROM (SELECT DISTINCT 'slow ' || event_type AS w FROM events WHERE event_type <> 'view')) AS warnings FROM events""")
+def throughput_and_warnings(spark, d):
+    e = t(spark, d, "events")
+    said = e.select(F.when(F.col("event_type") != "view", F.concat(F.lit("slow "), F.col("event_type"))).alias("warning"))
+    return aggregates.throughput(e, 2.5).join(aggregates.distinct_warnings(said).select(F.array_join("warnings", ",").alias("warnings")))  # a row each

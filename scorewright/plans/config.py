@@ -6,11 +6,18 @@ import copy
 import json
 import re
 from dataclasses import dataclass, field
+from datetime import datetime
 from pathlib import Path
 from typing import Any
 
-#: Task types and the fields that each needs.
-TASK_TYPES = {"classification": ("text", "label"), "structured": ("text", "schema"), "freeform": ("text", "expected")}
+#: Task types.
+TASK_TYPES = ("classification", "structured", "freeform")
+#: Metrics that a summary leaves out, and the objects that it keeps.
+SUMMARY_SKIPS = (
+    "total_samples", "valid_samples", "error_count", "throughput", "total_duration", "samples_with_type_errors", "numeric_fields_total", "numeric_fields_correct", "imperfect_sample_count",
+    "match_distribution_counts", "subtasks",
+)
+SUMMARY_OBJECTS = ("diagnostic_counts", "diagnostic_rates", "performance_summary")
 DEFAULT_FIELDS = {"classification": {"input_field": "text", "output_field": "label"}, "structured": {"input_field": "text", "output_field": "expected"}, "freeform": {"input_field": "text", "output_field": "expected"}}
 SECRET_FLAG = re.compile(r"(?i)(api[-_]?key|token|secret|password|authorization)")
 
@@ -37,7 +44,15 @@ def validate_task(config: dict[str, Any]) -> list[str]:
         faults.append(f"unknown dataset.source {data.get('source')}")
     if kind == "classification" and not (data.get("labels") or data.get("choices_field")):
         faults.append("classification needs labels or choices_field")
-    if kind == "structured" and not (data.get("schema") or data.get("schema_field") or data.get("schema_path")):
+    labels = data.get("labels")
+    if isinstance(labels, str):
+        try:
+            labels = json.loads(labels)
+        except ValueError:
+            faults.append("labels are no JSON")
+    if kind == "classification" and labels and not isinstance(labels, dict):
+        faults.append("labels must map values to texts")
+    if kind == "structured" and not any(k in d for d in (data, config) for k in ("schema", "schema_field", "schema_path", "schema_json")):
         faults.append("structured needs a schema")
     return faults
 
@@ -134,3 +149,60 @@ def reference_rows(catalog: dict[str, list[Subtask]]) -> list[tuple[str, str, st
 def emitted_config(model: str, provider: str, tasks: list[str], options: dict[str, Any] | None = None) -> str:
     """A run configuration as JSON, which YAML readers take too."""
     return json.dumps(deep_merge({"model": {"name": model}, "provider_type": provider, "tasks": tasks}, options), indent=2, ensure_ascii=False) + "\n"
+
+
+def summarized(metrics: dict[str, Any], names: list[str] | None = None) -> dict[str, Any]:
+    """Numbers of a task's metrics, those in names if there are any, with the objects that summaries keep; subtasks by themselves."""
+    inner = metrics.get("subtasks")
+    if isinstance(inner, dict):
+        return {"subtasks": {k: summarized({n: v for n, v in m.items() if n != "subtasks"}, names) for k, m in inner.items()}}
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    kept = [n for n in names if n in metrics] if names else [n for n in metrics if n not in SUMMARY_SKIPS]
+    return {n: float(metrics[n]) for n in kept if number(metrics[n])} | {n: metrics[n] for n in SUMMARY_OBJECTS if isinstance(metrics.get(n), dict)}
+
+
+def canonical_task(key: str) -> str:
+    """Dashes after the first dot are underscores."""
+    head, dot, tail = key.partition(".")
+    return head + dot + tail.replace("-", "_")
+
+
+def run_summary(model: str, run: str, stamp: str, *layers: dict[str, dict]) -> dict[str, Any]:
+    """Summaries by task, a later layer winning a task and its spelling; diagnostics are summed over tasks, rates to six places."""
+    tasks: dict[str, Any] = {}
+    for layer in layers:
+        for key, metrics in layer.items():
+            same = next((k for k in tasks if canonical_task(k) == canonical_task(key)), None)
+            tasks.pop(same, None)
+            tasks[key] = metrics
+    counts: dict[str, int] = {}
+    leaves = [m for t in tasks.values() for m in (t["subtasks"].values() if isinstance(t.get("subtasks"), dict) else [t])]
+    for m in leaves:
+        for k, n in m.get("diagnostic_counts", {}).items():
+            counts[k] = counts.get(k, 0) + n
+    total = sum(counts.values())
+    diagnostics = {"counts": counts, "rates": {k: round(n / total, 6) for k, n in counts.items()}} if total else {}
+    return {"model": model, "run_id": run, "timestamp": stamp, "tasks": tasks, "diagnostics": diagnostics}
+
+
+def run_outcome(model: str, run: str, started: datetime, ended: datetime, records: dict[str, dict[str, Any]], policy: str = "relaxed", summary: dict[str, Any] | None = None) -> dict[str, Any]:
+    """What automation reads of a run: statuses and their counts, exit code, times, diagnostics. records: by task, with status, completed and subtasks."""
+    statuses = [r.get("status") or "pending" for r in records.values()]
+    inner = [s.get("status") or "pending" for r in records.values() for s in (r.get("subtasks") or {}).values() if isinstance(s, dict)]
+    bad, poor = {"failed", "error", "pending"}, {"degraded", "skipped", "no_samples"}
+    blocks = {"smoke": bad | poor - {"degraded"}, "strict": set(statuses) - {"passed"}}.get(policy.lower(), set())
+    counts = {f"{s}_tasks": statuses.count(s) for s in ("passed", "degraded", "skipped", "no_samples", "pending", "error", "failed")}
+    counts |= {"requested_tasks": len(records), "completed_tasks": sum(bool(r.get("completed")) for r in records.values()), "non_passing_tasks": sum(s in bad | {"skipped", "no_samples"} for s in statuses)}
+    counts |= {"requested_subtasks": len(inner), "passed_subtasks": inner.count("passed")}
+    return {
+        "schema_version": "1.0", "model": model, "run_id": run, "started_at": started.isoformat(), "ended_at": ended.isoformat(), "duration_s": round(max(0.0, (ended - started).total_seconds()), 6),
+        "status": "failed" if bad & set(statuses) else "degraded" if poor & set(statuses) else "passed", "exit_policy": policy, "exit_code": int(bool(blocks & set(statuses))),
+        "counts": counts, "tasks": records, "diagnostics": (summary or {}).get("diagnostics", {}),
+    }
+
+
+def model_config(model: str, root: str) -> str | None:
+    """The configuration file of a model below a folder: that of its full name, else of its short one."""
+    names = [model.replace("/", "_"), model.rsplit("/", 1)[-1]]
+    found = [p for n in names for p in sorted(Path(root).rglob("*")) if p.stem == n and p.suffix in (".json", ".yaml", ".yml")]
+    return str(found[0]) if found else None

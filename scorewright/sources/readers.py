@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -109,13 +110,28 @@ def read_json_map(spark: SparkSession, path: str, value: str = "string") -> Data
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
-def read_json_records(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """(key, value JSON text) of a file that holds a list of objects or an object of them."""
+def read_json_records(spark: SparkSession, path: str, key: str = "id", allowed: str | None = None) -> DataFrame:
+    """(key, value JSON text) of a file that holds a list of objects or an object of them; allowed: a file of keys, a line each, that alone are kept."""
     whole = spark.read.option("wholetext", True).text(path)
     listing = F.from_json("value", "array<string>")
     by_list = F.transform(listing, lambda x: F.struct(F.get_json_object(x, f"$.{key}").alias("key"), x.alias("value")))
     by_map = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
-    return whole.select(F.explode(F.when(F.ltrim("value").startswith("["), by_list).otherwise(by_map)).alias("r")).select("r.*")
+    return whole.select(F.explode(F.when(F.ltrim("value").startswith("["), by_list).otherwise(by_map)).alias("r")).select("r.*") if allowed is None else read_json_records(spark, path, key).join(allowed_keys(spark, allowed), "key", "left_semi")
+
+
+def allowed_keys(spark: SparkSession, path: str) -> DataFrame:
+    """(key) of a text file: its lines, without blanks around them and without empty ones."""
+    return spark.read.text(path).select(strip("value").alias("key")).filter("key <> ''").distinct()
+
+
+def read_expected(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "pdf")) -> DataFrame:
+    """(id, expected, schema, file_path) of a folder with expected.json (file stem -> object) and schema.json; of several files of a stem the first extension in order; without a file, no row."""
+    from ..operators.joins import with_listing
+
+    rows = read_json_map(spark, f"{path}/expected.json").select(F.regexp_replace("key", r"\.(" + "|".join(extensions) + ")$", "").alias("stem"), F.col("value").alias("expected"))
+    schema = spark.read.option("wholetext", True).text(f"{path}/schema.json").first()[0]
+    met = with_listing(rows, file_listing(spark, path, extensions), "stem", list(extensions))
+    return met.select(F.col("stem").alias("id"), "expected", F.lit(schema).alias("schema"), F.col("path").alias("file_path"))
 
 
 def file_listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
@@ -144,7 +160,7 @@ def image_mask_pairs(spark: SparkSession, images: str, masks: str, priority: tup
 
 
 def materialize_binary(df: DataFrame, column: str, folder: str, index: str = "row_idx", default_ext: str = "bin") -> DataFrame:
-    """Writes each payload to `<id>.<ext>` in a folder that executors share, through Arrow batches, and adds file_path.
+    """Writes each payload to `<id>.<ext>` in a folder that executors share (a path, or a URI of any store that Arrow writes), and adds file_path.
 
     A repeated task writes the same files again, so a lost executor does no harm.
     """
@@ -154,16 +170,17 @@ def materialize_binary(df: DataFrame, column: str, folder: str, index: str = "ro
     ready = ready.withColumn("file_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace("_id", r"[^\w.-]", "_"), F.lit("."), "_ext"))
 
     def save(batches):
-        import os
-        import tempfile
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for batch in batches:
             for data, path in zip(batch.column(column).to_pylist(), batch.column("file_path").to_pylist(), strict=True):
                 if data is not None:
-                    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+                    name = f"{base.rstrip('/')}/{path.rsplit('/', 1)[-1]}"
+                    with store.open_output_stream(part := f"{name}.{uuid.uuid4().hex}") as f:
                         f.write(data)
-                    os.replace(f.name, path)
+                    store.move(part, name)
             yield batch.drop_columns([column])
 
     kept = [c for c in ready.columns if c not in ("_id", "_ext")]
@@ -192,6 +209,16 @@ class DatasetConfig:
     fetch: Any = None  # (spark, name, split) -> DataFrame, for hubs
 
 
+def _fetched(spark: SparkSession, cfg: DatasetConfig) -> DataFrame:
+    """The split from the hub; a data set without a test split gives its train split."""
+    try:
+        return cfg.fetch(spark, cfg.name, cfg.split)
+    except Exception:
+        if cfg.split != "test":
+            raise
+        return cfg.fetch(spark, cfg.name, "train")
+
+
 def load_dataset(spark: SparkSession, cfg: DatasetConfig, cache: str | None = None) -> DataFrame:
     """Scan, number, map and limit; without a name or with an unknown source it raises."""
     if not cfg.name:
@@ -202,12 +229,15 @@ def load_dataset(spark: SparkSession, cfg: DatasetConfig, cache: str | None = No
     elif kind in ("jsonl", "local"):
         df = read_jsonl(spark, cfg.name)
         raw = numbered(df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()}), ["_file", "_at"]).drop("_file", "_at")
+    elif kind == "directory" and (file := next((f"{cfg.name}/{cfg.split}.{e}" for e in ("csv", "tsv") if exists(spark, f"{cfg.name}/{cfg.split}.{e}")), None)):
+        df = read_delimited(spark, file, "\t" if file.endswith(".tsv") else ",")
+        raw = numbered(df.withColumn("_at", F.monotonically_increasing_id()), ["_at"]).drop("_at")
     elif kind == "directory":
         raw = read_directory(spark, cfg.name)
     elif kind in ("hub", "huggingface"):
         if cfg.fetch is None:
             raise ValueError(f"{cfg.name}: a hub needs a fetch function")
-        build = lambda: cfg.fetch(spark, cfg.name, cfg.split)
+        build = lambda: _fetched(spark, cfg)
         raw = cached(spark, f"{cache}/{cfg.name.replace('/', '_')}_{cfg.split}_{mapping_fingerprint(cfg.fields.__dict__)}", build) if cache else build()
     else:
         raise ValueError(f"unknown source {kind}")

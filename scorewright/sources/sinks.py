@@ -84,3 +84,20 @@ def package_submission(spark: SparkSession, run: str, target: str, models: list[
         a, b = (jvm.org.apache.hadoop.fs.Path(f"{p}/{model}") for p in (run, f"{target}/models"))
         jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
     write_json_document(spark, f"{target}/manifest.json", manifest | {"models": models})
+
+
+def group_summary(model: str, stamp: str, aggregated: dict[str, Any], subtasks: dict[str, dict[str, Any]]) -> dict[str, Any]:
+    return {"model": model, "timestamp": stamp, "subtasks": list(subtasks), "aggregated_metrics": aggregated, "per_subtask_metrics": subtasks}
+
+
+def write_group_summary(spark: SparkSession, folder: str, title: str, model: str, stamp: str, aggregated: dict[str, Any], subtasks: dict[str, dict[str, Any]]) -> None:
+    """`<model>_<stamp>_summary` as JSON and as a text report."""
+    path = f"{folder.rstrip('/')}/{model.replace('/', '_')}_{stamp}_summary"
+    write_json_document(spark, f"{path}.json", group_summary(model, stamp, aggregated, subtasks))
+    head = {"Model": model, "Timestamp": stamp, "Subtasks": ", ".join(subtasks)}
+    write_text(spark, f"{path}.txt", metrics_report(title, head | {"Aggregated": aggregated, "By subtask": subtasks}))
+
+
+def performance_summary(samples: int, seconds: float, errors: int = 0) -> dict[str, Any]:
+    """Duration and throughput of a task, for its summary."""
+    return {"total_samples": samples, "total_duration": round(seconds, 6), "throughput": samples / seconds if seconds > 0 else 0.0, "seconds_per_sample": seconds / samples if samples else 0.0, "error_count": errors}

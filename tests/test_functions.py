@@ -115,7 +115,7 @@ def test_json_functions(spark):
     assert jsons.fingerprint({"a": 1, "b": 2}) == jsons.fingerprint({"b": 2, "a": 1})
     schema = {"type": "object", "properties": {"d": {"$ref": "#/$defs/day"}, "n": {"type": ["integer", "null"]}}, "$defs": {"day": {"type": "string", "format": "date"}}}
     found = []
-    assert jsons.normalized({"d": "15-01-2024", "n": "null", "t": "9:30", "x": "15-01-2024"}, schema, True, "", found) == {"d": "2024-01-15", "n": None, "t": "09:30", "x": "15-01-2024"} and found == ["null"]
+    assert jsons.normalized({"d": "15-01-2024", "n": "null", "t": "9:30", "x": "15-01-2024"}, schema, True, "", found) == {"d": "2024-01-15", "n": None, "t": "09:30", "x": "15-01-2024"} and found == ["date", "null"]
     assert jsons.equal_values({"a": 1, "b": " x"}, {"a": 1.0, "b": "X "}) and not jsons.equal_values({"a": 1}, {"a": 1, "b": 2})
     assert jsons.complexity(schema)["total_fields"] == 2
     strict = jsons.sanitize_schema({"json_schema": {"schema": schema}})

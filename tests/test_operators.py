@@ -197,8 +197,11 @@ def test_tasks(spark):
     assert speech.error_rate == 0.3333
     model = tasks.from_function(lambda texts: [t.upper() for t in texts], batch_rows=2)
     assert {r.prediction for r in model(samples).collect()} == {"Q"}
-    broken = tasks.from_function(lambda texts: 1 / 0)
-    assert all(r.error.startswith("ZeroDivisionError") for r in broken(samples).collect())
+    broken = tasks.from_function(lambda texts: 1 / 0, attempts=1)
+    assert all(r.error.startswith("ZeroDivisionError") and r.error_type == "connectivity_error" for r in broken(samples).collect())
+    odd = tasks.from_function(lambda texts: [str(1 // (t != "bad")) for t in texts], attempts=1)
+    mixed = odd(spark.createDataFrame([("1", "ok"), ("2", "bad"), ("3", "ok")], "id string, text string").coalesce(1)).collect()
+    assert [(r.prediction, r.error is None) for r in mixed] == [("1", True), (None, False), ("1", True)]
     with pytest.raises(ValueError, match="unknown task"):
         tasks.ad_hoc("odd", "t")
     body = spark.createDataFrame([("1", "t", '{"name": "a", "age": 1}')], "id string, text string, expected string")
@@ -238,3 +241,193 @@ def test_command_line(spark, tmp_path, capsys):
     main(["eval", "--kind", "freeform", "--data", f"{d}/a.jsonl", "--predictions", f"{d}/p", "--out", f"{d}/o"])
     main(["kinds"])
     assert spark.read.json(f"{d}/o/metrics").first().exact_match == 1.0 and "freeform" in capsys.readouterr().out
+
+
+class Refused(Exception):
+    def __init__(self, code, said="no"):
+        super().__init__(said)
+        self.status_code = code
+
+
+def test_retries():
+    from scorewright.plans import retries
+
+    assert [retries.decide(Refused(429), n) for n in (1, 2, 9)] == [(True, 5.0, "rate_limit"), (True, 15.0, "rate_limit"), (True, 120.0, "rate_limit")]
+    assert retries.decide(Refused(404), 1) == (False, 0.0, "invalid_response") and retries.decide(Refused(404), 1, True)[0]
+    assert [retries.decide(Refused(502), n)[1] for n in (1, 3, 9)] == [1.0, 4.0, 16.0] and retries.decide(ValueError("Rate limit"), 1)[2] == "rate_limit"
+    waits, calls = [], iter([Refused(503), Refused(429), None])
+
+    def call():
+        error = next(calls)
+        if error:
+            raise error
+        return "x"
+
+    assert retries.attempted(call, 3, wait=waits.append) == ("x", None, None) and waits == [1.0, 15.0]
+    assert retries.attempted(lambda: 1 / 0, 2, wait=waits.append)[2] == "connectivity_error" and len(waits) == 3
+
+
+def test_groups_and_adapters(spark, tmp_path, monkeypatch):
+    samples = spark.createDataFrame([("1", "q", "a")], "id string, text string, expected string")
+    predict = tasks.from_table(spark.createDataFrame([("1", "a")], "id string, prediction string"))
+    seen = []
+
+    def task(name, shared):
+        if name == "bad":
+            raise RuntimeError("no data")
+        return None if name == "odd" else tasks.ad_hoc("freeform", name)
+
+    group = tasks.TaskGroup("g", task, subtasks=("one", "bad", "odd"), setup=lambda: seen.append("up") or 7, teardown=lambda x: seen.append(x), aggregate=lambda found: {n: e.metrics.first().exact_match for n, e in found.items()}, write_summary=lambda a, found: seen.append(a))
+    out = tasks.run_group(group, lambda name: samples, predict)
+    assert out.aggregated == {"one": 1.0} and out.skipped == ["odd"] and out.errors == {"bad": "RuntimeError: no data"} and seen == ["up", {"one": 1.0}, 7]
+    own = tasks.run_group(tasks.TaskGroup("g", run=lambda name, shared: tasks.Evaluation(samples, samples)), lambda name: samples, predict, ["x"])
+    assert list(own.subtasks) == ["x"]
+    with pytest.raises(ValueError, match="either"):
+        tasks.run_group(tasks.TaskGroup("g"), lambda name: samples, predict)
+    (tmp_path / "plugs").mkdir()
+    for name, body in {"__init__": "", "base": "", "_own": "", "echo": "class Adapter:\n    def __init__(self, model, options):\n        self.model, self.options = model, options\n"}.items():
+        (tmp_path / "plugs" / f"{name}.py").write_text(body)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    import plugs
+
+    assert tasks.adapters(plugs) == ["echo"] and tasks.adapter(plugs, "echo", "m", {"a": 1}).options == {"a": 1}
+    with pytest.raises(ValueError, match="there are echo"):
+        tasks.adapter(plugs, "none", "m", {})
+
+
+def test_summaries_and_outcomes(spark, tmp_path):
+    from datetime import datetime
+
+    inner = {"f1": 0.5, "ok": True, "n": "x", "total_samples": 4, "diagnostic_counts": {"plain": 3, "loop": 1}}
+    assert config.summarized(inner) == {"f1": 0.5, "diagnostic_counts": {"plain": 3, "loop": 1}}
+    assert config.summarized({"subtasks": {"a": inner}}, ["f1", "absent"])["subtasks"]["a"] == {"f1": 0.5, "diagnostic_counts": {"plain": 3, "loop": 1}}
+    found = config.run_summary("m", "r", "now", {"g.a-b": {"f1": 0.1}}, {"g.a_b": config.summarized(inner), "x": {"subtasks": {"s": config.summarized(inner)}}})
+    assert set(found["tasks"]) == {"g.a_b", "x"} and found["diagnostics"] == {"counts": {"plain": 6, "loop": 2}, "rates": {"plain": 0.75, "loop": 0.25}}
+    records = {"a": {"status": "passed", "completed": True, "subtasks": {"s": {"status": "passed"}, "t": {}}}, "b": {"status": "degraded"}}
+    out = config.run_outcome("m", "r", datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 1), records, "strict", found)
+    assert (out["status"], out["exit_code"], out["duration_s"], out["counts"]["requested_subtasks"], out["counts"]["passed_subtasks"], out["counts"]["completed_tasks"]) == ("degraded", 1, 60.0, 2, 1, 1)
+    assert config.run_outcome("m", "r", datetime(2024, 1, 1), datetime(2024, 1, 1), {"a": {}}, "smoke")["exit_code"] == 1
+    sinks.write_group_summary(spark, str(tmp_path), "T", "o/m", "s", {"f1": 0.5}, {"a": {"f1": 0.25}})
+    assert json.loads((tmp_path / "o_m_s_summary.json").read_text())["per_subtask_metrics"] == {"a": {"f1": 0.25}} and "f1: 0.2500" in (tmp_path / "o_m_s_summary.txt").read_text()
+    assert sinks.performance_summary(10, 4.0)["throughput"] == 2.5 and sinks.performance_summary(0, 0.0)["throughput"] == 0.0
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "m.yaml").write_text("")
+    assert config.model_config("o/m", str(tmp_path / "conf")).endswith("m.yaml") and config.model_config("none", str(tmp_path / "conf")) is None
+    assert config.validate_task({"task_type": "classification", "dataset": {"name": "x", "labels": "[1]"}}) == ["labels must map values to texts"]
+
+
+def test_more_sources(spark, tmp_path):
+    d = str(tmp_path)
+    (tmp_path / "doc").mkdir()
+    (tmp_path / "doc" / "schema.json").write_text('{"properties": {}}')
+    (tmp_path / "doc" / "expected.json").write_text('{"a.pdf": {"v": 1}, "b": {"v": 2}, "none": {"v": 3}}')
+    for n in ("a.pdf", "b.png", "b.jpg"):
+        (tmp_path / "doc" / n).write_bytes(b"1")
+    got = {r.id: (r.expected, r.file_path.rsplit("/", 1)[-1]) for r in readers.read_expected(spark, f"{d}/doc").collect()}
+    assert got == {"a": ('{"v":1}', "a.pdf"), "b": ('{"v":2}', "b.jpg")}
+    (tmp_path / "r.json").write_text('[{"id": "x"}, {"id": "y"}]')
+    (tmp_path / "ids.txt").write_text(" y \n\nz\n")
+    assert [r.key for r in readers.read_json_records(spark, f"{d}/r.json", allowed=f"{d}/ids.txt").collect()] == ["y"]
+    (tmp_path / "csvs").mkdir()
+    (tmp_path / "csvs" / "test.tsv").write_text("\ufeffid\ttext\texpected\n1\tq\ta\n")
+    assert [tuple(r) for r in readers.load_dataset(spark, readers.DatasetConfig(f"{d}/csvs")).select("id", "text", "expected").collect()] == [("1", "q", "a")]
+
+    def fetch(spark, name, split):
+        if split != "train":
+            raise ValueError("no such split")
+        return spark.createDataFrame([("1", "t", "e", 0)], "id string, text string, expected string, row_idx long")
+
+    hub = readers.DatasetConfig("o/name", source="hub", fetch=fetch)
+    assert readers.load_dataset(spark, hub).count() == 1
+    with pytest.raises(ValueError, match="no such split"):
+        readers.load_dataset(spark, readers.DatasetConfig("o/name", source="hub", split="dev", fetch=fetch))
+    binary = spark.createDataFrame([("r1", bytearray(b"abc"))], "record_id string, data binary").withColumn("row_idx", F.lit(0))
+    readers.materialize_binary(binary, "data", f"file://{d}/uri").collect()
+    assert [p.name for p in (tmp_path / "uri").iterdir()] == ["r1.bin"]
+
+
+def test_quantiles_and_ranks_of_hot_values(spark):
+    import numpy as np
+
+    rows = [(i % 3, float(i % 5 if i % 2 else 7)) for i in range(500)] + [(9, None), (None, 4.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {r.g: (list(r.q) if r.q else None, r.n) for r in ranking.quantiles(df, "v", (0.1, 0.5, 0.9), ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        values = [v for k, v in rows if k == g]
+        assert got[g][0] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.9]).tolist()) and got[g][1] == len(values)
+    assert got[9] == (None, 0) and ranking.quartiles(df.limit(0), "v").first().n == 0
+    ranked = ranking.ranked(spark.createDataFrame([(f"{i:03}", float(i % 2)) for i in range(40)], "id string, v double"), "v", "id").collect()
+    assert {r.id: r.rank_desc for r in ranked} == {f"{i:03}": n + 1 for n, i in enumerate(sorted(range(40), key=lambda i: (-(i % 2), i)))}
+    assert sorted(r.rank_asc for r in ranked) == list(range(1, 41))
+
+
+# BLEU and chrF in plain Python, over the table that the queries use
+
+
+def plain_13a(x):
+    import re
+
+    for a, b in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = x.replace(a, b)
+    x = f" {x} "
+    for a, b in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = re.sub(a, b, x)
+    return re.split(r"[ \t\n\x0b\f\r]+", x.strip(" \t\n\x0b\f\r")) if x.strip() else []
+
+
+def plain_grams(items, n):
+    from collections import Counter
+
+    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+
+
+def plain_bleu(pairs, effective):
+    import math
+
+    match, total, p_len, r_len = [0] * 4, [0] * 4, 0, 0
+    for p, e in pairs:
+        a, b = plain_13a(p), plain_13a(e)
+        p_len, r_len = p_len + len(a), r_len + len(b)
+        for n in range(4):
+            x = plain_grams(a, n + 1)
+            match[n] += sum((x & plain_grams(b, n + 1)).values())
+            total[n] += sum(x.values())
+    if not match[0] or (not effective and 0 in total):
+        return 0.0
+    smooth, logs = 1.0, []
+    for m, k in zip(match, total, strict=True):
+        if k:
+            smooth *= 1 if m else 2
+            logs.append(math.log(m / k if m else 1 / (smooth * k)))
+    return (math.exp(1 - r_len / p_len) if p_len < r_len else 1.0) * math.exp(sum(logs) / (len(logs) if effective else 4))
+
+
+def plain_chrf(pairs):
+    sums = [[0, 0, 0] for _ in range(6)]
+    for p, e in pairs:
+        a, b = ("".join(x.split(None)) for x in (p, e))
+        for n, s in enumerate(sums, 1):
+            x, y = plain_grams(a, n), plain_grams(b, n)
+            for i, v in enumerate((sum((x & y).values()), sum(x.values()), sum(y.values()))):
+                s[i] += v
+    used = [(m / a, m / b) for m, a, b in sums if a and b]
+    if not used:
+        return 0.0
+    p, r = (sum(x) / len(used) for x in zip(*used, strict=True))
+    return 5 * p * r / (4 * p + r) if p + r else 0.0
+
+
+def test_bleu_and_chrf_over_the_table(spark):
+    from collections import defaultdict
+
+    from scorewright.plans import catalog
+
+    pairs = {(r.conv_id, r.turn): (r.role, r.prediction, r.expected) for r in catalog.turn_pairs(spark, "/root/testdata/sf0.001").collect()}
+    for r in catalog.QUERIES["sentence_bleu_chrf"](spark, "/root/testdata/sf0.001").collect():
+        _, p, e = pairs[r.conv_id, r.turn]
+        assert (r.bleu, r.chrf) == (pytest.approx(plain_bleu([(p, e)], True), abs=2e-6), pytest.approx(plain_chrf([(p, e)]), abs=2e-6))
+    by = defaultdict(list)
+    for role, p, e in pairs.values():
+        by[role].append((p, e))
+    got = {r.role: (r.bleu, r.chrf) for r in catalog.QUERIES["corpus_bleu_chrf"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {role: (pytest.approx(plain_bleu(x, False), abs=2e-6), pytest.approx(plain_chrf(x), abs=2e-6)) for role, x in by.items()}
