@@ -937,7 +937,7 @@ def field_lists(spark, d):
 
 
 @query("""
-WITH c AS (SELECT user_id % 10 AS task, event_type AS diagnostic_class, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id % 10) AS run FROM events GROUP BY ALL)
+WITH c AS (SELECT user_id % 10 AS task, event_type AS diagnostic_class, count(*) AS n FROM events GROUP BY ALL)
 SELECT diagnostic_class, sum(n)::BIGINT AS count, max(e.total) AS run_samples, round(sum(n) / max(e.total), 6) AS rate FROM c, (SELECT count(*) AS total FROM events) e GROUP BY diagnostic_class""")
 def run_diagnostics(spark, d):
     e = t(spark, d, "events").select((F.col("user_id") % 10).alias("task"), F.col("event_type").alias("diagnostic_class"))
