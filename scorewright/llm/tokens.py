@@ -48,9 +48,12 @@ class WordTokenizer:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
+    def _plain(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        out = self._bytes([t.id for t in self.model.tokenize(shown)])
+        return self._bytes([t.id for t in self.model.tokenize(shown)])
+
+    def _part(self, part: str) -> bytes:
+        out = self._plain(part)
         if len(self.parts) < self.limit:
             self.parts[part] = out
         return out
@@ -58,8 +61,10 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         known = self.parts
         if word.isascii() and word.isalpha():
-            small = word.lower()
-            out = known.get(small) or self._part(small)
+            small = word.lower()  # one part, so it is kept among the words alone
+            out = self.words.get(small) or known.get(small) or self._plain(small)
+            if small != word and len(self.words) < self.limit and len(small) <= 64:
+                self.words[small] = out
         elif PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
             small = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
             out = b"".join([known.get(p) or self._part(p) for p in SPLIT.findall(small)])
