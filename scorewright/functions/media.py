@@ -1,4 +1,4 @@
-"""Base64 payloads and masks. Pixels of decoded images are outside (an image library is an optional plug-in); counts are expressions."""
+"""Base64 payloads and mask scores, as expressions. Pixels are in images.py."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from .text import col
 
 
 def decode_base64(x: Column | str) -> Column:
-    """Bytes of a data URL or bare base64; white space is dropped and missing padding added, broken input is null."""
-    body = F.regexp_replace(F.regexp_replace(col(x), r"(?s)^data:[^,]*,", ""), r"\s+", "")
+    """Bytes of a data URL or bare base64; fences and white space are dropped and missing padding added, broken input is null."""
+    text = F.regexp_replace(F.regexp_replace(col(x), r"(?s)^\s*`{3}`*(.*?)`*\s*$", "$1"), r"(?s)^\s*data:[^,]*,", "")
+    body = F.regexp_replace(text, r"\s+", "")
     body = F.translate(body, "-_", "+/")
     padded = F.rpad(body, F.greatest(F.lit(0), (F.ceil(F.char_length(body) / 4.0) * 4).cast("int")), "=")
     return F.try_to_binary(padded, F.lit("base64"))
@@ -25,12 +26,12 @@ def mask_counts(predicted: Column, expected: Column) -> Column:
 
 
 def mask_scores(tp: Column | str, fp: Column | str, fn: Column | str, tn: Column | str) -> dict[str, Column]:
-    """IoU (1 if both masks are empty), precision, recall, F1, accuracy and mean absolute error."""
+    """IoU, precision, recall, F1, accuracy and mean absolute error; a share of nothing is 0, so two empty masks have IoU 0."""
     tp, fp, fn, tn = map(col, (tp, fp, fn, tn))
     union, every = tp + fp + fn, tp + fp + fn + tn
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return {
-        "iou": F.when(union == 0, 1.0).otherwise(ratio(tp, union)),
+        "iou": ratio(tp, union),
         "precision": precision,
         "recall": recall,
         "f1": f1(precision, recall),

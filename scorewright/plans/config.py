@@ -10,6 +10,13 @@ from datetime import datetime
 from pathlib import Path
 from typing import Any
 
+try:
+    import yaml
+except ImportError:  # JSON is read and written without it
+    yaml = None
+
+#: Groups in order of their place in reference tables.
+GROUP_ORDER = ("latam_pr", "latam_es", "translation", "structured_extraction", "transcription")
 #: Task types.
 TASK_TYPES = ("classification", "structured", "freeform")
 #: Metrics that a summary leaves out, and the objects that it keeps.
@@ -122,12 +129,29 @@ class Subtask:
         return f"{self.group}.{self.name}"
 
 
+def parsed_document(text: str) -> Any:
+    """JSON, or YAML where a YAML parser is installed."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        if yaml is None:
+            raise
+        return yaml.safe_load(text)
+
+
+def metadata_files(root: str, pattern: str = "*") -> list[Path]:
+    """metadata.json or metadata.yaml of the folders below root, in order; private folders and `common` are passed over."""
+    found = {p.parent: p for name in ("metadata.yaml", "metadata.json") for p in Path(root).glob(f"{pattern}/{name}")}
+    return [found[k] for k in sorted(found) if not k.name.startswith("_") and k.name != "common"]
+
+
 def task_catalog(root: str) -> dict[str, list[Subtask]]:
-    """Groups by folder: metadata.json names the group's subtasks and defaults."""
+    """Groups by folder: its metadata names the group's subtasks and defaults."""
     out = {}
-    for path in sorted(Path(root).glob("*/metadata.json")):
-        meta = json.loads(path.read_text())
+    for path in metadata_files(root):
+        meta = parsed_document(path.read_text()) or {}
         names = meta.get("subtasks") or {path.parent.name: {}}
+        names = names if isinstance(names, dict) else dict.fromkeys(names, {})
         out[path.parent.name] = [Subtask(path.parent.name, n, (c or {}).get("primary_metric", meta.get("primary_metric")), deep_merge(meta.get("defaults"), c)) for n, c in names.items()]
     return out
 
@@ -146,9 +170,52 @@ def reference_rows(catalog: dict[str, list[Subtask]]) -> list[tuple[str, str, st
     return [(s.group, s.name, s.primary_metric) for subtasks in catalog.values() for s in subtasks]
 
 
-def emitted_config(model: str, provider: str, tasks: list[str], options: dict[str, Any] | None = None) -> str:
-    """A run configuration as JSON, which YAML readers take too."""
-    return json.dumps(deep_merge({"model": {"name": model}, "provider_type": provider, "tasks": tasks}, options), indent=2, ensure_ascii=False) + "\n"
+def reference_tables(root: str, order: tuple[str, ...] = GROUP_ORDER) -> tuple[dict[str, Any], dict[str, Any]]:
+    """Tasks and groups by name, for leaderboards: of metadata that names a group, groups in the given order, then by name."""
+    by_group: dict[str, list[tuple[str, dict]]] = {}
+    for path in metadata_files(root, "**"):
+        try:
+            meta = parsed_document(path.read_text())
+        except Exception:  # of either parser: a broken file is passed over
+            continue
+        if isinstance(meta, dict) and meta.get("group"):
+            by_group.setdefault(meta["group"], []).append((path.parent.name, meta))
+    tasks, groups = {}, {}
+    for group in [g for g in order if g in by_group] + sorted(set(by_group) - set(order)):
+        for folder, meta in by_group[group]:
+            own = meta.get("group_metadata") or {"name": meta.get("display_name", folder), "description": meta.get("description", "")}
+            entry = groups.setdefault(group, dict(own) | {"subtasks": []})
+            subtasks = meta.get("subtasks") or {}
+            about = meta.get("task_metadata") or (subtasks if isinstance(subtasks, dict) else {})
+            for name in subtasks if isinstance(subtasks, (dict, list)) else []:
+                if not (isinstance(name, str) and about.get(name)):
+                    continue
+                row = {"name": name, "group": group} | about[name]
+                url = None if "URL" in row else row.pop("url", None) or row.pop("Url", None)
+                tasks[name] = row | ({"URL": url} if url else {})
+                if name not in entry["subtasks"]:
+                    entry["subtasks"].append(name)
+    return {"tasks": tasks}, {"task_groups": groups}
+
+
+def emitted_config(model: str, provider: str, tasks: list[str], options: dict[str, Any] | None = None, form: str = "json") -> str:
+    """A run configuration, empty sections left out, as JSON (which YAML readers take too) or, where a YAML library is installed, as YAML."""
+
+    def full(node: Any) -> Any:
+        if not isinstance(node, dict):
+            return node
+        return {k: v for k, v in ((k, full(v)) for k, v in node.items()) if v is not None and v != {}}
+
+    found = full(deep_merge({"model": {"name": model}, "provider_type": provider, "tasks": tasks}, options))
+    if form == "yaml" and yaml is not None:
+        return yaml.safe_dump(found, sort_keys=False, allow_unicode=True)
+    return json.dumps(found, indent=2, ensure_ascii=False) + "\n"
+
+
+def config_faults(config: dict[str, Any]) -> list[str]:
+    """What an emitted configuration lacks to be run."""
+    named = (config.get("model") or {}).get("name")
+    return [f"{name} is missing" for name, there in (("model.name", named), ("tasks", config.get("tasks"))) if not there]
 
 
 def summarized(metrics: dict[str, Any], names: list[str] | None = None) -> dict[str, Any]:

@@ -8,38 +8,34 @@ import uuid
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.jsons import plain_schema
 from ..functions.text import strip
 from ..operators.mapping import FieldMap, limited, normalize_samples, numbered, with_split
+from .folders import place
 
 IMAGES = ("jpg", "jpeg", "png", "gif", "webp")
 EXTENSION_COLUMNS = ("input_file_extension", "file_extension", "extension", "ext")
 ID_COLUMNS = ("record_id", "id", "attachment_id")
 
 
-def _fs(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """In any store that Spark reads."""
-    fs, target = _fs(spark, path)
+    fs, target = place(spark, path)
     return fs.exists(target)
 
 
 def listed(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted."""
-    fs, target = _fs(spark, path)
+    fs, target = place(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs(spark, path)
+    fs, target = place(spark, path)
     return fs.exists(target) and fs.getFileStatus(target).isDirectory()
 
 
@@ -72,6 +68,11 @@ def read_parquet(spark: SparkSession, path: str, split: str = "test") -> DataFra
     return spark.read.parquet(target)
 
 
+def file_path() -> Column:
+    """The path that a row was read from, as it is written; the metadata column holds it as an encoded URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     """Consecutive numbers in file order, from the reader's own metadata: exact for one file, and for many by path."""
     return numbered(df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}), ["_file", "_row"], name).drop("_file", "_row")
@@ -106,13 +107,13 @@ def read_json_array(spark: SparkSession, path: str, drop: tuple[str, ...] = ())
 
 def read_json_map(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
     """(key, value) of a JSON object; values as JSON text, or a given type. One object is one record, so a file is read whole."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
 def read_json_records(spark: SparkSession, path: str, key: str = "id", allowed: str | None = None) -> DataFrame:
     """(key, value JSON text) of a file that holds a list of objects or an object of them; allowed: a file of keys, a line each, that alone are kept."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     listing = F.from_json("value", "array<string>")
     by_list = F.transform(listing, lambda x: F.struct(F.get_json_object(x, f"$.{key}").alias("key"), x.alias("value")))
     by_map = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e.key.alias("key"), e.value.alias("value")))
@@ -129,7 +130,7 @@ def read_expected(spark: SparkSession, path: str, extensions: tuple[str, ...] =
     from ..operators.joins import with_listing
 
     rows = read_json_map(spark, f"{path}/expected.json").select(F.regexp_replace("key", r"\.(" + "|".join(extensions) + ")$", "").alias("stem"), F.col("value").alias("expected"))
-    schema = spark.read.option("wholetext", True).text(f"{path}/schema.json").first()[0]
+    schema = spark.read.text(f"{path}/schema.json", wholetext=True).first()[0]
     met = with_listing(rows, file_listing(spark, path, extensions), "stem", list(extensions))
     return met.select(F.col("stem").alias("id"), "expected", F.lit(schema).alias("schema"), F.col("path").alias("file_path"))
 
@@ -188,6 +189,13 @@ def materialize_binary(df: DataFrame, column: str, folder: str, index: str = "ro
     return ready.mapInArrow(save, T.StructType([f for f in ready.schema.fields if f.name != column]))
 
 
+def speech_samples(df: DataFrame, folder: str, locale: str, language: str, audio: str = "audio.bytes") -> DataFrame:
+    """(id, audio_path, expected, language, locale) of rows (id, audio, transcription): the bytes as they are go to `<id>.wav` in the folder; a row without audio is dropped."""
+    rows = df.select(F.col("id").cast("string").alias("record_id"), F.col(audio).alias("_audio"), F.col("transcription").alias("expected"), F.lit("wav").alias("ext"), F.lit(0).alias("row_idx"))
+    saved = materialize_binary(rows.filter("_audio is not null"), "_audio", folder)
+    return saved.select(F.concat(F.lit(f"{locale}_"), "record_id").alias("id"), F.col("file_path").alias("audio_path"), "expected", F.lit(language).alias("language"), F.lit(locale).alias("locale"))
+
+
 def mapping_fingerprint(config: dict[str, Any]) -> str:
     return hashlib.sha1(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:10]
 
@@ -249,7 +257,7 @@ def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
     rows = []
     for name in listed(spark, root):
         if exists(spark, f"{root}/{name}/dataset_info.json"):
-            info = json.loads(spark.read.option("wholetext", True).text(f"{root}/{name}/dataset_info.json").first()[0])
+            info = json.loads(spark.read.text(f"{root}/{name}/dataset_info.json", wholetext=True).first()[0])
             rows.append((name, f"{root}/{name}", sorted(map(str, info.get("label_distribution", {}))), exists(spark, f"{root}/{name}/schema.json")))
     return spark.createDataFrame(rows, "name string, path string, labels array<string>, has_schema boolean")
 
@@ -261,7 +269,7 @@ def resolve_dataset(spark: SparkSession, root: str, name: str) -> tuple[str, dic
         raise FileNotFoundError(name)
     if not exists(spark, f"{path}/schema.json"):
         return path, {}, FieldMap()
-    schema, columns, types = plain_schema(json.loads(spark.read.option("wholetext", True).text(f"{path}/schema.json").first()[0]))
+    schema, columns, types = plain_schema(json.loads(spark.read.text(f"{path}/schema.json", wholetext=True).first()[0]))
     return path, schema, FieldMap(id="record_id", ground_truth=columns, types=types)
 
 
@@ -271,8 +279,9 @@ def resolve_dataset(spark: SparkSession, root: str, name: str) -> tuple[str, dic
 def run_metrics(spark: SparkSession, root: str, schema: T.StructType | str | None = None) -> DataFrame:
     """`*_metrics.json` below a run folder (`<run>/<model>/<task>[/<subtask>]/...`) with model, task key and file time; per-sample files are passed over."""
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_metrics.json")
-    df = (reader.schema(schema) if schema else reader).json(root).withColumns({"_path": F.col("_metadata.file_path"), "_time": F.col("_metadata.file_modification_time")})
-    inner = F.split(F.regexp_extract("_path", rf"{root.rstrip('/')}/(.*)$", 1), "/")
+    df = (reader.schema(schema) if schema else reader).json(root).withColumns({"_path": file_path(), "_time": F.col("_metadata.file_modification_time")})
+    files, target = place(spark, root)
+    inner = F.split(F.regexp_extract("_path", rf"\Q{files.makeQualified(target).toUri().getPath()}/\E(.*)$", 1), "/")
     n = F.size(inner) - 1  # without the file
     key = F.when(n >= 3, F.concat(inner[1], F.lit("."), inner[2])).when(n == 2, inner[1]).otherwise(F.lit("main"))
     return df.filter(~F.col("_path").contains("per_sample_metrics")).withColumns({"run_model": inner[0], "task_key": key})
@@ -283,7 +292,7 @@ def latest_summaries(spark: SparkSession, root: str) -> DataFrame:
     from ..operators.ranking import latest
 
     df = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_summary.json").json(root)
-    df = df.withColumns({"file": F.col("_metadata.file_name"), "folder": F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")})
+    df = df.withColumns({"file": F.substring_index(file_path(), "/", -1), "folder": F.regexp_replace(file_path(), "/[^/]*$", "")})
     return latest(df.filter(~F.col("file").endswith("_performance_summary.json")), ["folder"], ["file"])
 
 
@@ -291,5 +300,5 @@ def submissions(spark: SparkSession, root: str) -> DataFrame:
     """model_summary.json of all submissions; of a model, the one last by path."""
     from ..operators.ranking import latest
 
-    df = spark.read.option("multiLine", True).json(f"{root}/*/models/*/model_summary.json").withColumn("path", F.col("_metadata.file_path"))
+    df = spark.read.option("multiLine", True).json(f"{root}/*/models/*/model_summary.json").withColumn("path", file_path())
     return latest(df, ["model_name"], ["path"])

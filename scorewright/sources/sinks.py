@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from typing import Any
+from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.images import comparison_png
+from .folders import place
+from .readers import materialize_binary
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small document, in any store that Spark writes."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, in any store that Spark writes."""
+    files, target = place(spark, path)
+    out = files.create(target, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written and read back: its side effects, such as files, are done once."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_json_document(spark: SparkSession, path: str, value: Any) -> None:
     write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2, default=str))
 
@@ -38,16 +54,67 @@ def write_buckets(df: DataFrame, path: str, bucket: str = "bucket") -> None:
     df.write.mode("overwrite").partitionBy(bucket).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> None:
-    """A leaderboard: a row a model, so one file; `xlsx` goes through pandas where a writer is installed."""
+def _sheet_column(n: int) -> str:
+    """A, B, ... Z, AA, ..."""
+    out = ""
+    while n >= 0:
+        out, n = chr(65 + n % 26) + out, n // 26 - 1
+    return out
+
+
+def xlsx_bytes(columns: list[str], rows: list[tuple]) -> bytes:
+    """A workbook of one sheet: a row of names, then the rows; numbers and booleans as such, all else as text, nothing for null."""
+
+    def cell(y: int, x: int, v: Any) -> str:
+        at = f"{_sheet_column(x)}{y}"
+        if v is None or v != v:
+            return ""
+        if isinstance(v, bool):
+            return f'<c r="{at}" t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)) and v not in (float("inf"), float("-inf")):
+            return f'<c r="{at}"><v>{v!r}</v></c>'
+        text = "".join(c for c in str(v) if c in "\t\n\r" or c >= " ")
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+    main, kind = "http://schemas.openxmlformats.org", "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    body = "".join(f'<row r="{y}">{"".join(cell(y, x, v) for x, v in enumerate(r))}</row>' for y, r in enumerate([tuple(columns), *rows], 1))
+    link = lambda to, what: f'<Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="rId1" Type="{main}/officeDocument/2006/relationships/{what}" Target="{to}"/></Relationships>'
+    files = {
+        "[Content_Types].xml": f'<Types xmlns="{main}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>',
+        "_rels/.rels": link("xl/workbook.xml", "officeDocument"),
+        "xl/workbook.xml": f'<workbook xmlns="{main}/spreadsheetml/2006/main" xmlns:r="{main}/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": link("worksheets/sheet1.xml", "worksheet"),
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in files.items():
+            book.writestr(name, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n{text}')
+    return out.getvalue()
+
+
+def table_statistics(df: DataFrame) -> dict[str, Any]:
+    """Models, columns and columns of doubles of a leaderboard."""
+    n = df.count()
+    return {"total_models": n, "columns": df.columns, "numeric_columns": [c for c, t in df.dtypes if t == "double"], "models_count": n}
+
+
+def write_table(df: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv"), most_models: int = 1_000_000) -> None:
+    """A leaderboard: a row a model, so one file. `xlsx` and `stats` are made on the driver; a workbook holds at most most_models rows, more raise."""
     one = df.coalesce(1)
     if "json" in formats:
         one.write.mode("overwrite").json(f"{path}.json")
+    flat = [F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in df.dtypes]
     if "csv" in formats:
-        flat = [F.to_json(c).alias(c) if t.startswith(("map", "struct", "array")) else F.col(c) for c, t in df.dtypes]
         one.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
     if "xlsx" in formats:
-        df.toPandas().to_excel(f"{path}.xlsx", index=False)
+        rows = df.select(*flat).limit(most_models + 1).collect()
+        if len(rows) > most_models:
+            raise ValueError(f"more than {most_models} rows")
+        write_bytes(df.sparkSession, f"{path}.xlsx", xlsx_bytes(df.columns, [tuple(r) for r in rows]))
+    if "stats" in formats:
+        write_json_document(df.sparkSession, f"{path}_statistics.json", table_statistics(df))
 
 
 def append_status(df: DataFrame, path: str) -> None:
@@ -101,3 +168,9 @@ def write_group_summary(spark: SparkSession, folder: str, title: str, model: str
 def performance_summary(samples: int, seconds: float, errors: int = 0) -> dict[str, Any]:
     """Duration and throughput of a task, for its summary."""
     return {"total_samples": samples, "total_duration": round(seconds, 6), "throughput": samples / seconds if seconds > 0 else 0.0, "seconds_per_sample": seconds / samples if samples else 0.0, "error_count": errors}
+
+
+def write_mask_comparisons(df: DataFrame, folder: str, ident: str, predicted: str = "predicted", expected: str = "expected", picture: Column | str | None = None) -> DataFrame:
+    """(ident, file_path): a PNG of each sample whose two images can be read, written by executors."""
+    rows = df.select(F.col(ident), F.col(ident).cast("string").alias("record_id"), comparison_png(predicted, expected, picture).alias("_png"), F.lit("png").alias("ext"), F.lit(0).alias("row_idx"))
+    return materialize_binary(rows.filter("_png is not null"), "_png", folder).select(ident, "file_path")
