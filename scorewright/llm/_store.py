@@ -6,44 +6,21 @@ outside belong to the application: the file system deletes them when the applica
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_LOCAL: dict[str, str] = {}
-_SCRATCH: list[list[DataFrame]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir or set as checkpoint directory; in local mode alone, else a folder of this process."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    given = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return given.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scorewright-")
-    return _LOCAL[app]
+from ..sources.folders import new_folder
+from ..sources.folders import place as _place
 
-
-def _place(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it back: cuts the lineage, survives the loss of an executor, is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/scorewright/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    files, target = _place(df.sparkSession, path)
-    files.deleteOnExit(target)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scorewright_path = path
     for made in _SCRATCH[-1:]:

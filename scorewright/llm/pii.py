@@ -8,7 +8,9 @@ its check is passed over whole.
 Base kinds: email, ip, card, phone. The method adds: url (a link with a login in it), account (letters or
 digits after an identifier cue such as "account no."), iban (after the cue "IBAN", check digits valid).
 
-Defined results: null and empty texts have no spans; positions are code points, ends exclusive; other columns are ignored.
+Defined results: null and empty texts have no spans; positions are code points, ends exclusive; very long texts are read whole, in one
+pass; repeated rows give their spans each; spans of equal start are in order of kind; an empty table gives none; other columns are
+ignored by find_pii() and kept by mask_pii().
 """
 
 from __future__ import annotations

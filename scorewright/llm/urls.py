@@ -6,8 +6,9 @@ level 2 the keys of the corpus's whole universe of candidates that level 1 takes
 level 2 takes for those, and so on until a level errs on none. A key is listed if the first level that misses it is
 even. That is exact for every key of the universe, and looking up needs no join: the filters are literals of the plan.
 
-Size: level 1 takes `bits_per_key` bits a listed key, and listed keys beyond `max_keys` are refused before anything is
-collected, so literals have a known bound; each later level encodes a small share of the one two before it.
+Size: level 1 takes `bits_per_key` bits a listed key, and a cascade refuses more than `max_keys` of them before anything is
+collected, so literals have a known bound; each later level encodes a small share of the one two before it. Rules beyond that bound
+are looked up by joins instead, as no plan can hold their filters; the results are the same.
 
 All cascades of a query are built from one pass over the corpus: what the first levels let through is written, and deeper levels read that.
 
@@ -23,9 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import small_enough, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+VERDICTS = ("allow", "block")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -122,25 +124,63 @@ def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", **sizes: int) -> DataFrame:
-    """pages (page_id, url) with host, path, rule and verdict. rules: (verdict, host, path beginning); the longest that fits wins.
+def _rule_table(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """Rules as a table, made from a literal."""
+    text = F.lit(json.dumps([{"verdict": v, "host": h, "path": p} for v, h, p in rules]))
+    return pages.sparkSession.range(1).select(F.inline(F.from_json(text, "array<struct<verdict:string,host:string,path:string>>")))
 
-    A host and its path are one key, so no two rules may have the same; hosts have no slash and paths begin with one.
+
+def _sound(table: DataFrame) -> tuple[list[int], list[int]]:
+    """Label counts and lengths that rules have; raises where rules are not sound."""
+    key = F.concat("host", "path")
+    bad = F.count_if(F.coalesce(F.contains("host", F.lit("/")) | ~F.startswith("path", F.lit("/")) | ~F.col("verdict").isin(*VERDICTS), F.lit(True)))
+    shapes = table.groupBy(F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("length")).agg(bad.alias("bad"), F.count("*").alias("n")).collect()
+    if any(r.bad for r in shapes) or table.select(key.alias("key")).distinct().count() < sum(r.n for r in shapes):
+        raise ValueError("rules need the verdict allow or block, hosts without a slash, paths that begin with one, and no repeats")
+    return sorted({r.labels for r in shapes}), sorted({r.length for r in shapes})
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, default: str = "allow", max_keys: int = 1_000_000, **sizes: int) -> DataFrame:
+    """pages (page_id, url) with host, path, rule and verdict. rules: (verdict, host, path beginning), a list or a table; the longest that fits wins.
+
+    A host and its path are one key, so no two rules may have the same; hosts have no slash and paths begin with one. Filters of at most
+    max_keys rules are literals of the plan; more rules are looked up by joins, with the same result.
     """
-    if any("/" in h or not p.startswith("/") for _, h, p in rules) or len({h + p for _, h, p in rules}) < len(rules):
-        raise ValueError("rules need hosts without a slash, paths that begin with one, and no repeats")
-    spark = pages.sparkSession
-    labels, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for *_, p in rules})
+    if isinstance(rules, DataFrame):
+        table = rules.select("verdict", "host", "path")
+        labels, lengths = _sound(table)
+        listed = lambda v: table.filter(F.col("verdict") == v).select(F.concat("host", "path").alias("key"))
+        few = small_enough(table, max_keys)
+        verdicts = [v for v in VERDICTS if few and not listed(v).isEmpty()]
+    else:
+        if any(v not in VERDICTS or "/" in h or not p.startswith("/") for v, h, p in rules) or len({h + p for _, h, p in rules}) < len(rules):
+            raise ValueError("rules need the verdict allow or block, hosts without a slash, paths that begin with one, and no repeats")
+        labels, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for *_, p in rules})
+        table = _rule_table(pages, rules)
+        listed = lambda v: _rule_table(pages, [r for r in rules if r[0] == v]).select(F.concat("host", "path").alias("key"))
+        few = len(rules) <= max_keys
+        verdicts = [v for v in VERDICTS if any(x == v for x, *_ in rules)]
     split = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    universe = split.select(F.explode(candidates(F.col("host"), F.col("path"), labels, lengths)).alias("key"))
-    listed = lambda v: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([h + p for x, h, p in rules if x == v])), "array<string>")).alias("key"))
-    lists = cascades({v: listed(v) for v in ("allow", "block") if any(x == v for x, *_ in rules)}, universe, **sizes)
     keys = candidates(F.col("host"), F.col("path"), labels, lengths)
+    if not few:
+        return _joined(split, keys, table, default)
+    lists = cascades({v: listed(v) for v in verdicts}, split.select(F.explode(keys).alias("key")), max_keys=max_keys, **sizes) if verdicts else {}
     judged = F.filter(F.transform(keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), _verdict(lists, k).alias("verdict"))), lambda x: x.verdict.isNotNull())
     best = F.try_element_at(F.array_sort(judged), F.lit(-1))
     return split.withColumn("best", best).select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
+def _joined(split: DataFrame, keys: Column, rules: DataFrame, default: str, salts: int = 64) -> DataFrame:
+    """The same by joins: different candidate keys meet the rules, and what is found meets the pages under salted keys, so no key is hot."""
+    rows = written(split.withColumn("row", F.monotonically_increasing_id()), "pages")
+    asked = rows.select("row", F.explode(keys).alias("rule"))
+    found = written(asked.select("rule").distinct().join(rules.select(F.concat("host", "path").alias("rule"), F.col("verdict").alias("says")), "rule"), "found")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = asked.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(salted, ["rule", "salt"])
+    best = met.groupBy("row").agg(F.max_by(F.struct("rule", "says"), F.length("rule")).alias("best"))
+    return rows.join(best, "row", "left").select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))
+
+
 def _verdict(lists: dict[str, Cascade], key: Column) -> Column:
     out = F.lit(None).cast("string")
     for verdict, cascade in lists.items():

@@ -284,6 +284,24 @@ def test_urls(spark):
     assert urls.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+@pytest.mark.parametrize("max_keys", [2, 100])
+def test_urls_by_a_table_of_rules(spark, max_keys):
+    rows = ["http://a.com/en/7", "x://example.com/en/7?q", "http://www.EXAMPLE.net/de/8#f", None, "no url", "http://b.org/es/" + "y" * 50_000, "://", "http://com/en/"] + ["http://hot.com/en/1"] * 300
+    df = spark.createDataFrame([(i if i % 50 else None, u, "h", 1, 2) for i, u in enumerate(rows)], "page_id long, url string, row string, salt int, says int")
+    rules = spark.createDataFrame(queries.URL_RULES, "verdict string, host string, path string")
+    for given in (rules, queries.URL_RULES):
+        got = Counter((r.page_id, r.url, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, given, max_keys=max_keys).collect())
+        assert got == Counter((i if i % 50 else None, u, *plain_url(u)) for i, u in enumerate(rows))
+    assert urls.filter_urls(df.limit(0), rules, max_keys=max_keys).count() == 0
+    none = urls.filter_urls(df, rules.limit(0), max_keys=max_keys).select("rule", "verdict").distinct().collect()
+    assert [tuple(r) for r in none] == [(None, "allow")]
+    for bad in ([("allow", "a/b", "/")], [("allow", "a", "b")], [("drop", "a", "/")], [("allow", "a", "/"), ("block", "a", "/")], [(None, "a", "/")]):
+        with pytest.raises(ValueError, match="rules need"):
+            urls.filter_urls(df, spark.createDataFrame(bad, "verdict string, host string, path string"))
+        with pytest.raises(ValueError, match="rules need"):
+            urls.filter_urls(df, bad)
+
+
 def test_cascade_is_exact_when_filters_are_poor(spark):
     listed, every = spark.range(0, 600, 10).selectExpr("cast(id as string) key"), spark.range(600).selectExpr("cast(id as string) key")
     cascade = urls.cascades({"x": listed}, every, bits_per_key=3)["x"]
