@@ -30,11 +30,9 @@ from pyspark.sql.window import Window
 
 from . import shingles
 from ._store import unused, written
-from .components import components
+from .components import HOT, components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-#: A class of more than one in so many rows is joined by broadcast: there are fewer than that many such classes.
-HOT = 1000
 
 
 def majority(votes: np.ndarray) -> int:

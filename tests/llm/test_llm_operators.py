@@ -173,7 +173,9 @@ def test_links_chain_and_ball(spark):
     assert {r.node: r.root for r in got.collect()} == {n: r for n, r in want.items() if sum(x == r for x in want.values()) > 1}
 
 
-def test_components_long_path_and_star(spark):
+@pytest.mark.parametrize("hot", [components.HOT, 3])
+def test_components_long_path_and_star(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)  # at 3, the star's center alone is joined by broadcast
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1300)}}
