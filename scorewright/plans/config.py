@@ -268,8 +268,21 @@ def run_outcome(model: str, run: str, started: datetime, ended: datetime, record
     }
 
 
+def config_names(root: str) -> list[str]:
+    """Configurations directly in a folder, by name without their suffix."""
+    return sorted({p.stem for p in Path(root).glob("*") if p.suffix in (".json", ".yaml", ".yml")})
+
+
 def model_config(model: str, root: str) -> str | None:
-    """The configuration file of a model below a folder: that of its full name, else of its short one."""
-    names = [model.replace("/", "_"), model.rsplit("/", 1)[-1]]
-    found = [p for n in names for p in sorted(Path(root).rglob("*")) if p.stem == n and p.suffix in (".json", ".yaml", ".yml")]
-    return str(found[0]) if found else None
+    """The first configuration file below a folder that gives the model's full name as its own; else one that is called so. Files that can't be read are passed over."""
+    files = [p for p in sorted(Path(root).rglob("*")) if p.suffix in (".json", ".yaml", ".yml")]
+    for path in files:
+        try:
+            found = parsed_document(path.read_text())
+        except Exception:  # of either parser
+            continue
+        own = found.get("model") if isinstance(found, dict) else None
+        if isinstance(own, dict) and own.get("name") == model:
+            return str(path)
+    called = [p for n in (model.replace("/", "_"), model.rsplit("/", 1)[-1]) for p in files if p.stem == n]
+    return str(called[0]) if called else None

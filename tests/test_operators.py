@@ -241,6 +241,19 @@ def test_command_line(spark, tmp_path, capsys):
     main(["eval", "--kind", "freeform", "--data", f"{d}/a.jsonl", "--predictions", f"{d}/p", "--out", f"{d}/o"])
     main(["kinds"])
     assert spark.read.json(f"{d}/o/metrics").first().exact_match == 1.0 and "freeform" in capsys.readouterr().out
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "b.json").write_text('{"model": {"name": "o/b"}}')
+    (tmp_path / "conf" / "a.yaml").write_text("{}")
+    main(["models", f"{d}/conf"])
+    main(["providers", f"{d}/conf", "--json"])
+    assert capsys.readouterr().out.split("\n")[:3] == ["a", "b", '{"providers": ["a", "b"]}']
+    (tmp_path / "tasks" / "g").mkdir(parents=True)
+    (tmp_path / "tasks" / "g" / "metadata.json").write_text('{"subtasks": ["x", "y"]}')
+    main(["tasks", f"{d}/tasks"])
+    assert capsys.readouterr().out == "g\n  g.x\n  g.y\n"
+    (tmp_path / "checks.jsonl").write_text('{"model": "m", "kind": "mode", "name": "chat", "tested": true, "ok": true}\n{"model": "n", "kind": "mode", "name": "chat", "tested": true, "ok": false}\n')
+    main(["probe", f"{d}/checks.jsonl", "--out", f"{d}/probe"])
+    assert {r.model: r.probe_status for r in spark.read.json(f"{d}/probe").collect()} == {"m": "passed", "n": "failed"} and capsys.readouterr().out == "failed 1\npassed 1\n"
 
 
 class Refused(Exception):
@@ -313,6 +326,8 @@ def test_summaries_and_outcomes(spark, tmp_path):
     (tmp_path / "conf").mkdir()
     (tmp_path / "conf" / "m.yaml").write_text("")
     assert config.model_config("o/m", str(tmp_path / "conf")).endswith("m.yaml") and config.model_config("none", str(tmp_path / "conf")) is None
+    (tmp_path / "conf" / "z.json").write_text('{"model": {"name": "o/m"}}')
+    assert config.model_config("o/m", str(tmp_path / "conf")).endswith("z.json")
     assert config.validate_task({"task_type": "classification", "dataset": {"name": "x", "labels": "[1]"}}) == ["labels must map values to texts"]
 
 
