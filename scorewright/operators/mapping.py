@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import col, strip
+from ..sources.folders import new_folder
 
 #: Task fields that keep their names in samples.
 TASK_FIELDS = ("schema", "choices", "choice_labels", "label_to_index", "label_value", "image_path", "file_path", "record_id", "locale")
@@ -30,15 +31,21 @@ class FieldMap:
 def numbered(df: DataFrame, order: list[Column | str], name: str = "row_idx") -> DataFrame:
     """Consecutive numbers from 0 in a total order, without one task for all rows.
 
-    Rows are range-partitioned by the order; each partition's start is the sum of those before it. The per-partition counts are as many
+    Rows are range-partitioned by the order, sorted, and written to the shared folder, a file a partition: Spark draws the bounds of
+    ranges from a sample, anew in every exchange, and may merge its partitions in another way, so only what is written has the same
+    partitions for rows and counts. A row's number is its place in its file after the rows of the files before. The counts are as many
     rows as there are partitions.
     """
-    order = [col(o) for o in order]
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = parts.withColumn("__inside", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = inside.groupBy("__part").agg(F.count("*").alias("__n"))
+    order, spark = [col(o) for o in order], df.sparkSession
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]  # not held by Parquet
+    parts = df.drop(*void).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*order)
+    path = new_folder(spark, "numbered")
+    parts.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    rows = spark.read.schema(parts.schema).parquet(path)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     starts = counts.withColumn("__start", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
-    return inside.join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__inside") - 1).cast("long")).drop("__part", "__inside", "__start")
+    placed = rows.withColumn("__inside", F.col("_metadata.row_index")).join(F.broadcast(starts), "__part")
+    return placed.withColumns({c: F.lit(None) for c in void} | {name: F.col("__start") + F.col("__inside")}).drop("__part", "__inside", "__start")
 
 
 def _typed(value: Column, kind: str) -> Column:
